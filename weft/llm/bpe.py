@@ -12,7 +12,9 @@ repeated rows get equal ids; other columns are not touched.
 from __future__ import annotations
 
 import base64
+import struct
 from functools import lru_cache
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,8 @@ from weft.llm._shared import ship
 _NONE = 1 << 62
 _SHIFT = 32
 _MASK = (1 << _SHIFT) - 1
+_LOG = 4  # a node of the tree has 2**4 children: a short match is one node
+_WIDTH = 1 << _LOG
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,70 +41,73 @@ def splitter(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one match of the pattern."""
-    whole = ranks.get(piece)
+def shifted(ranks: dict[bytes, int]) -> dict[bytes, int]:
+    """Ranks in the high bits, as the tree holds them; the low bits are for a position."""
+    return {token: rank << _SHIFT for token, rank in ranks.items()}
+
+
+def byte_pairs(high: dict[bytes, int]) -> dict[tuple[int, int], int]:
+    """Shifted rank of every pair of bytes."""
+    return {(a, b): high.get(bytes((a, b)), _NONE) for a in range(256) for b in range(256)}
+
+
+def merge(piece: bytes, high: dict[bytes, int], pairs: dict[tuple[int, int], int]) -> list[int]:
+    """Ids of one match of the pattern. high: ``shifted`` ranks; pairs: ``byte_pairs`` of them."""
+    whole = high.get(piece)
     if whole is not None:
-        return [whole]
+        return [whole >> _SHIFT]
     n = len(piece)
-    size = 1 << (n - 1).bit_length()
-    get = ranks.get
-    tree = [_NONE] * (2 * size)
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        if r is not None:
-            tree[size + i] = r << _SHIFT | i
-    for k in range(size - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of live positions
-
-    def put(i: int, value: int) -> None:
-        k = size + i
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            least = a if a < b else b
-            if tree[k] == least:
-                return
-            tree[k] = least
-            k >>= 1
-
-    while (top := tree[1]) != _NONE:
+    get = high.get
+    leaves = list(map(or_, map(pairs.__getitem__, zip(piece, piece[1:])), range(n)))
+    levels = [leaves]  # each node of a level is the least of _WIDTH nodes of the level before
+    while len(levels[-1]) > _WIDTH:
+        low = levels[-1]
+        levels.append([min(low[k : k + _WIDTH]) for k in range(0, len(low), _WIDTH)])
+    roots, depths = levels[-1], range(1, len(levels))
+    after, before = list(range(1, n + 1)), list(range(-1, n))  # of live positions
+    while (top := min(roots)) < _NONE:
         i = top & _MASK
         j = after[i]
         end = after[j]
         after[i] = end
-        put(j, _NONE)
+        # the pair at j is gone; those at i and at its left neighbour have a new right part
         if end < n:
             before[end] = i
-            r = get(piece[i : after[end]])
-            put(i, _NONE if r is None else r << _SHIFT | i)
+            leaves[j] = _NONE
+            leaves[i] = get(piece[i : after[end]], _NONE) | i
         else:
-            put(i, _NONE)
+            leaves[i] = _NONE
+            if j < n - 1:
+                leaves[j] = _NONE
         p = before[i]
         if p >= 0:
-            r = get(piece[p:end])
-            put(p, _NONE if r is None else r << _SHIFT | p)
+            leaves[p] = get(piece[p:end], _NONE) | p
+        for d in depths:
+            low, here, shift = levels[d - 1], levels[d], _LOG * d
+            for k in {j >> shift, i >> shift, max(p, 0) >> shift}:
+                if k < len(here):
+                    here[k] = min(low[k << _LOG : k + 1 << _LOG])
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
+        end = after[i]
+        out.append(high[piece[i:end]] >> _SHIFT)
+        i = end
     return out
 
 
 class _Packed(dict):
     """match -> its ids as little-endian unsigned 32-bit integers; emptied when ``most`` are held."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 500_000):
         super().__init__()
-        self.ranks, self.most = ranks, most
+        self.high, self.most = shifted(ranks), most
+        self.pairs = byte_pairs(self.high)
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
+        ids = merge(piece.encode(), self.high, self.pairs)
+        ids = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -120,8 +127,7 @@ class Codec:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        get = self.packed.__getitem__
-        return b"".join([get(m) for m in self.pattern.findall(text)])
+        return b"".join(map(self.packed.__getitem__, self.pattern.findall(text)))
 
     def decode(self, ids: bytes | None) -> bytes:
         if not ids:
@@ -157,10 +163,16 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
 
 
 def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ``ids`` (packed) and ``decoded`` of every row."""
+    """id, ``ids`` (packed) and ``decoded`` (the bytes of these ids) of every row."""
     ship(docs.sparkSession)
-    encoded = docs.select(F.col(id_col), encode(F.col(text_col), path, pattern).alias("ids"))
-    return encoded.select(id_col, "ids", decode(F.col("ids"), path, pattern).alias("decoded"))
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(texts: pd.Series) -> pd.DataFrame:  # one call: the optimizer would run encode() twice under decode()
+        c = codec(path, pattern)
+        ids = [c.encode(t) for t in texts]
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(map(c.decode, ids), dtype=object)})
+
+    return docs.select(F.col(id_col), both(F.col(text_col)).alias("_t")).select(id_col, "_t.ids", "_t.decoded")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
