@@ -6,7 +6,8 @@ estimated document frequency, rare first. If two sets are similar, their prefixe
 estimated cost of a prefix is the length of the posting lists it reads plus the verification of
 the candidates that at least l of them yield, and the cheapest l wins; sets with frequent
 shingles get longer prefixes and ask for more shared ones. A pair needs the smaller of its two l.
-A shared shingle counts only if, at its positions, enough shingles are left for the overlap.
+Pairs meet at the first shingle they share, which must leave enough shingles behind it, in both,
+for the overlap; their whole prefixes are then compared, and only those that share l go on.
 
 Frequencies come from one count table of ``SLOTS`` cells over all documents (fixed size,
 broadcast). They only order shingles: any order gives the same result.
@@ -151,9 +152,10 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, most_matches: int = 4,
     rows = cut(prefixes(docs, frequencies(docs, n), n, percent, most_matches, verify))
     classes = cut(rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep")))
     one = rows.filter(F.col("cls").isNotNull()).join(classes.select(F.col("cls").alias("_c"), "rep"), (F.col("cls") == F.col("_c")) & (F.col("doc_id") == F.col("rep")), "left_semi")
-    left = F.col("matches") - 1 + F.col("size") - F.col("_at")  # shingles that may still be shared
-    post = one.select("cls", F.col("n_shingles").alias("size"), "matches", "typical", F.posexplode("prefix").alias("_at", "token"))
-    post = post.select("token", "cls", "size", "matches", "typical", F.expr(f"(matches - 1 + size - _at) * {100 + percent} div {percent} - size").alias("most"))
+    one = cut(one.select("cls", F.col("n_shingles").alias("size"), "matches", "typical", "prefix"))
+    # a shingle can be the first that a pair shares only if enough are left behind it: for partners of at most ``most``
+    post = one.select("cls", "size", "typical", F.posexplode("prefix").alias("_at", "token"))
+    post = post.select("token", "cls", "size", "typical", F.expr(f"(size - _at) * {100 + percent} div {percent} - size").alias("most")).filter(100 * F.col("most") >= percent * F.col("size"))
     w = Window.partitionBy("token").orderBy(F.desc("typical"), "cls")
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     me = F.struct("cls", "size", "most")
@@ -165,8 +167,14 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, most_matches: int = 4,
     def pairs(x: DataFrame, other: str) -> DataFrame:
         return x.filter(near(other)).select(F.col(f"{other}.cls").alias("a"), F.col("cls").alias("b"))
 
-    first = cut(pairs(shared, "_first").unionByName(pairs(shared, "_prev")).distinct())
-    links = cut(verified(first, docs, classes, n, percent))
+    def links_among(found: DataFrame) -> DataFrame:
+        """Of candidate pairs, those that share enough of their prefixes and whose sets are similar."""
+        heads = one.select("cls", "matches", "prefix")
+        at = found.join(heads.toDF("a", "_ma", "_pa"), "a").join(heads.toDF("b", "_mb", "_pb"), "b")
+        enough = cut(at.filter(F.size(F.array_intersect("_pa", "_pb")) >= F.least("_ma", "_mb")).select("a", "b"))
+        return cut(verified(enough, docs, classes, n, percent))
+
+    links = links_among(cut(pairs(shared, "_first").unionByName(pairs(shared, "_prev")).distinct()))
     roots = components(links)
 
     # what still holds several components
@@ -179,9 +187,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, most_matches: int = 4,
         & (F.col("x.size") <= F.col("y.most")) & (F.col("y.size") <= F.col("x.most"))
         & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
     )
-    met = x.join(y, fits).groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.count("*").alias("_n"), F.min(F.least("x.matches", "y.matches")).alias("_l"))
-    rest = cut(met.filter("_n >= _l").select("a", "b"))
-    more = cut(verified(rest, docs, classes, n, percent))
+    more = links_among(cut(x.join(y, fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()))
     roots = components(links.unionByName(more))
 
     named = classes.join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
