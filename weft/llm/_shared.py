@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,9 +63,17 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def lower_words_of(text: str | None) -> list[bytes]:
+def lower_words_of(text: bytes | str | None) -> list[bytes]:
     """The same with A-Z lower-cased (``bytes.lower`` touches no other character)."""
-    return text.encode().lower().split() if text else []
+    if not text:
+        return []
+    return (text.encode() if isinstance(text, str) else text).lower().split()
+
+
+def utf8(column: pa.Array) -> Iterator[bytes | None]:
+    """The rows of an Arrow text column as bytes, one at a time: no batch is copied whole."""
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    return (x.as_py() for x in column.cast(kind))
 
 
 def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:

@@ -31,16 +31,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.llm._shared import cut, lower_words_of, shingle_hashes, ship
+from weft.llm._shared import cut, lower_words_of, shingle_hashes, ship, utf8
 from weft.llm.components import components
 
 SLOTS = 1 << 21
-_ROW = 1 << 12  # cells in a row of the count table on its way through the shuffle
+_ROW = 1 << 15  # cells in a row of the count table on its way through the shuffle
+
+
+_KINDS = {"n_shingles": pa.int64(), "cls": pa.int64(), "matches": pa.int32(), "typical": pa.float64(), "prefix": pa.list_(pa.int64())}
+
+
+def _class(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -50,21 +58,21 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def frequencies(docs: DataFrame, n: int) -> np.ndarray:
     """Cell -> shingles of all documents that fall in it."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = np.zeros(SLOTS, np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(SLOTS, np.int32)
         for batch in batches:
-            for text in batch["text"]:
+            for text in utf8(batch.column(0)):
                 np.add.at(cells, (shingle_hashes(lower_words_of(text), n) & np.uint64(SLOTS - 1)).astype(np.intp), 1)
         if cells.any():
-            rows = cells.reshape(-1, _ROW)
-            yield pd.DataFrame({"row": np.arange(len(rows)), "cells": list(rows.astype(np.int32))})
+            for i, row in enumerate(cells.reshape(-1, _ROW)):
+                yield pa.RecordBatch.from_pydict({"row": pa.array([i], pa.int64()), "cells": pa.array([row], pa.list_(pa.int32()))})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.asarray(c, np.int64) for c in group["cells"]], axis=0)
         return pd.DataFrame({"row": [group["row"].iloc[0]], "cells": [np.minimum(total, 2**31 - 1).astype(np.int32)]})
 
     schema = "row long, cells array<int>"
-    parts = docs.select("text").mapInPandas(count, schema).withColumn("_part", F.spark_partition_id() % 256)
+    parts = docs.select("text").mapInArrow(count, schema).withColumn("_part", F.spark_partition_id() % 1024)
     # two levels, so that no task gets the rows of all partitions
     level = parts.groupBy("row", "_part").applyInPandas(lambda g: add(g[["row", "cells"]]), schema)
     out = np.zeros(SLOTS, np.int32)
@@ -89,29 +97,29 @@ def prefixes(docs: DataFrame, table: np.ndarray, n: int, percent: int, most_matc
     """doc_id, n_shingles, cls (hash of the set, null without shingles), matches, typical, prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = shared.value
-        for batch in batches:
-            out = {k: [] for k in ("n_shingles", "cls", "matches", "typical", "prefix")}
-            for text in batch["text"]:
-                s = shingle_hashes(lower_words_of(text), n)
-                size = len(s)
-                matches, prefix, typical, cls = 0, None, 0.0, None
-                if size:
-                    df = cells[(s & np.uint64(SLOTS - 1)).astype(np.intp)]
-                    order = np.argsort(df, kind="stable")  # equal frequencies stay ordered by hash
-                    least = -(-percent * size // 100)
-                    matches = choose(df[order], size, least, most_matches, verify)
-                    prefix = _signed(s[order[: size - least + matches]])
-                    typical = float(np.log(df).mean())
-                    cls = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                for k, x in (("n_shingles", size), ("cls", cls), ("matches", matches), ("typical", typical), ("prefix", prefix)):
-                    out[k].append(x)
-            out["cls"] = pd.array(out["cls"], dtype="Int64")
-            yield pd.DataFrame({"doc_id": batch["doc_id"], **out})
+        for whole in batches:
+            for batch in (whole.slice(at, 1024) for at in range(0, whole.num_rows, 1024)):
+                out = {k: [] for k in ("n_shingles", "cls", "matches", "typical", "prefix")}
+                for text in utf8(batch.column(1)):
+                    s = shingle_hashes(lower_words_of(text), n)
+                    size = len(s)
+                    matches, prefix, typical, cls = 0, None, 0.0, None
+                    if size:
+                        df = cells[(s & np.uint64(SLOTS - 1)).astype(np.intp)]
+                        order = np.argsort(df, kind="stable")  # equal frequencies stay ordered by hash
+                        least = -(-percent * size // 100)
+                        matches = choose(df[order], size, least, most_matches, verify)
+                        prefix = _signed(s[order[: size - least + matches]])
+                        typical = float(np.log(df).mean())
+                        cls = _class(s)
+                    for k, x in (("n_shingles", size), ("cls", cls), ("matches", matches), ("typical", typical), ("prefix", prefix)):
+                        out[k].append(x)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[k], t) for k, t in _KINDS.items()]], ["doc_id", *_KINDS])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(work, f"doc_id {ids}, n_shingles long, cls long, matches int, typical double, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {ids}, n_shingles long, cls long, matches int, typical double, prefix array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -122,28 +130,27 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, perc
     left = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: OrderedDict[int, tuple[bool, np.ndarray]] = OrderedDict()
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict[tuple[int, bytes], tuple[bool, np.ndarray]] = OrderedDict()
 
-        def of(cls: int, text: str) -> tuple[bool, np.ndarray]:
+        def of(cls: int, text: bytes) -> tuple[bool, np.ndarray]:
             key = (cls, text)
             if key not in held:
                 s = shingle_hashes(lower_words_of(text), n)
-                # rows that repeat an id with another text are not this class
-                held[key] = (xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) == cls, s)
+                held[key] = (_class(s) == cls, s)  # rows that repeat an id with another text are not this class
                 if len(held) > 64:
                     held.popitem(last=False)
             return held[key]
 
         for batch in batches:
             good = []
-            for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"]):
+            for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), utf8(batch.column(3))):
                 (ok_a, x), (ok_b, y) = of(a, ta), of(b, tb)
                 both = len(np.intersect1d(x, y, assume_unique=True)) if ok_a and ok_b else -1
                 good.append(ok_a and ok_b and 100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.loc[good, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long").distinct()
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, n: int = 3, percent: int = 90, most_matches: int = 4, verify: float = 8.0) -> DataFrame:
