@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _MIX1 = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -32,7 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each Spark application."""
+    """Give the executors this package, once for each Spark application, and bound the batches that
+    Python workers hold (a batch of 64 MB of text, Spark's default, is several times that in Python)."""
+    if spark.conf.get(_BATCH) == "67108864b":
+        spark.conf.set(_BATCH, str(8 << 20))
     sc = spark.sparkContext
     if getattr(sc, "_weft_shipped", False):
         return

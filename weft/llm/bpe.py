@@ -98,7 +98,7 @@ def merge(piece: bytes, high: dict[bytes, int], pairs: dict[tuple[int, int], int
 class _Packed(dict):
     """match -> its ids as little-endian unsigned 32-bit integers; emptied when ``most`` are held."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 300_000):
         super().__init__()
         self.high, self.most = shifted(ranks), most
         self.pairs = byte_pairs(self.high)
