@@ -10,7 +10,7 @@ source's permuted blocks, and its rows are shuffled locally by a seeded hash.
 
 Scale: documents are shuffled once, without texts, by (source, block), so a source that holds a
 third of all rows is spread over its blocks. The driver holds one row for each source (sources are
-a catalogue: ``most_sources`` is checked) and ``shards`` numbers for each.
+a catalogue: ``most_sources`` is checked) and one number for each of its shards, 4096 at most.
 
 Defined results: a null or empty text has size 0 and nothing is taken; the null source is a source
 of its own and comes last; rows of equal id and size are interchangeable; sources without words
@@ -37,7 +37,8 @@ class Recipe:
     weights: tuple[int, ...] = (5, 2, 1)
     share: float = 1.5
     cap: int = 2
-    shards: int = 64
+    shards: int | None = None  # None: as many as ``shard_words`` asks for, 4096 at most
+    shard_words: int = 4_000_000
     block_docs: int = 256
     seed: int = 0
     split_last: bool = True  # take a part of the document at a quota's end; else all or none of it
@@ -127,7 +128,7 @@ def mix(docs: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
     small = spark.createDataFrame(plan, schema)
 
     def with_plan(df: DataFrame, table: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(table) if len(plan) * (r.shards + 6) * 8 < 16e6 else table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        return df.join(F.broadcast(table) if len(plan) * 80 < 16e6 else table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
     block = F.expr(f"shiftright(_cell, {_BITS} - _bits)").alias("_block")
     blocks = with_plan(cells, small).groupBy("source", "_left", block).agg(F.sum("_words").alias("_words"))
@@ -135,37 +136,51 @@ def mix(docs: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
     blocks = cut(blocks.withColumn("_before", F.coalesce(F.sum("_words").over(so_far), F.lit(0))))
     ends = {x.source: x.end for x in blocks.filter("_before < _left").groupBy("source").agg((F.max("_block") + 1).alias("end")).collect()}
     quotas = np.array([full * (1 << bits) + ends.get(s, 0) for s, _, _, full, _, bits in plan], np.int64)
-    cuts = split(quotas, r.shards, r.seed).cumsum(axis=0).T.tolist() if plan else []
-    full_schema = T.StructType([*schema.fields, T.StructField("_cuts", T.ArrayType(T.LongType(), False))])
-    wide = spark.createDataFrame([(*p, c) for p, c in zip(plan, cuts)], full_schema)
+    shards = r.shards or n_shards(r, sum(t.words for t in totals))
+    cuts = split(quotas, shards, r.seed).cumsum(axis=0).T.tolist() if plan else []
+    cut_schema = T.StructType([T.StructField("_source", T.StringType()), T.StructField("_bits", T.IntegerType()), T.StructField("_full", T.LongType()), T.StructField("_cuts", T.ArrayType(T.LongType(), False))])
+    ranges = spark.createDataFrame([(p[0], p[5], p[3], c) for p, c in zip(plan, cuts)], cut_schema)
 
-    placed = with_plan(rows.withColumn("_cell", _high_bits()), wide).withColumn("_block", block).drop("_cell")
-    starts = blocks.select(F.col("source").alias("_s"), F.col("_block").alias("_b"), "_before")
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))).drop("_s", "_b")
+    # the shards of each block's draws: whole passes, and the last one if the quota reaches the block
+    n_blocks = F.expr("shiftleft(1L, _bits)")
+    turned = lambda t: t * n_blocks + F.pmod(F.col("_block") * (2 * t * 7919 + 1) + t * 104729, n_blocks)  # noqa: E731  an odd factor permutes 2**bits blocks
+    shard = lambda at: F.size(F.filter("_cuts", lambda c: c <= at))
+    none = F.array().cast("array<int>")
+    whole = F.when(F.col("_full") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("_full") - 1), lambda t: shard(turned(t)))).otherwise(none)
+    last = F.when(F.col("_before") < F.col("_left"), F.array(shard(F.col("_full") * n_blocks + F.col("_block")))).otherwise(none)
+    wide = F.broadcast(ranges) if len(plan) * shards * 8 < 16e6 else ranges
+    drawn = blocks.join(wide, F.col("source").eqNullSafe(F.col("_source"))).select(F.col("source").alias("_s"), F.col("_block").alias("_b"), "_before", F.concat(whole, last).alias("_shards"))
+    drawn = cut(drawn)
+
+    placed = with_plan(rows.withColumn("_cell", _high_bits()), small).withColumn("_block", block).drop("_cell", "_bits")
+    placed = placed.join(drawn, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))).drop("_s", "_b")
     within = Window.partitionBy("source", "_block").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
     room = F.col("_left") - F.col("_before") - F.coalesce(F.sum("size").over(within), F.lit(0))
-    last = F.greatest(F.lit(0), F.least(room, F.col("size"))) if r.split_last else F.when(2 * room >= F.col("size"), F.col("size")).otherwise(0)
-    placed = placed.withColumn("_last", last.cast("long"))
+    rest = F.greatest(F.lit(0), F.least(room, F.col("size"))) if r.split_last else F.when(2 * room >= F.col("size"), F.col("size")).otherwise(0)
+    placed = placed.withColumn("_last", rest.cast("long"))
+    words = lambda t: F.when(t < F.col("_full"), F.col("size")).otherwise(F.col("_last"))
+    draws = F.transform("_shards", lambda x, t: F.struct(x.alias("shard"), words(t).alias("words"), F.xxhash64(F.lit(r.seed), t, "_key").alias("place")))
+    taken = F.col("_full") * F.col("size") + F.col("_last")
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.filter(draws, lambda d: d["words"] > 0).alias("draws"))
 
-    def draw(turn: Column, at: Column, words: Column) -> Column:
-        n = F.size(F.filter(F.col("_cuts"), lambda c: c <= at))
-        return F.struct(n.alias("shard"), words.alias("words"), F.xxhash64(F.lit(r.seed), turn, "_key").alias("place"))
 
-    n_blocks = F.expr("shiftleft(1L, _bits)")
-    turned = lambda t: t * n_blocks + F.pmod(F.col("_block") * (2 * t * 7919 + 1) + t * 104729, n_blocks)  # noqa: E731  an odd factor permutes 2**bits blocks
-    whole = F.when(F.col("_full") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("_full") - 1), lambda t: draw(t, turned(t), F.col("size")))).otherwise(F.array().cast("array<struct<shard:int,words:bigint,place:bigint>>"))
-    ended = F.when(F.col("_last") > 0, F.array(draw(F.col("_full"), F.col("_full") * n_blocks + F.col("_block"), F.col("_last")))).otherwise(F.array().cast("array<struct<shard:int,words:bigint,place:bigint>>"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("_full") * F.col("size") + F.col("_last")).alias("taken"), F.concat(whole, ended).alias("draws"))
+def n_shards(r: Recipe, words: int) -> int:
+    return int(min(4096, max(1, -(-r.share * words // r.shard_words))))
 
 
 def mixture(docs: DataFrame, recipe: Recipe = Recipe(split_last=False)) -> DataFrame:
     """The documents of the mix, each as often as it is drawn, grouped by output shard and in the
     shard's local random order; the columns are those of ``docs``. Equal rows share one id: ids that
     repeat must belong to equal rows here."""
-    drawn = mix(docs, recipe).filter(F.size("draws") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.first("draws").alias("_draws"))
+    drawn = cut(mix(docs, recipe).drop("target", "source_size")).filter(F.size("draws") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.first("draws").alias("_draws"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (n_words(F.col("text")) == F.col("_size"))
     out = docs.join(drawn, same).withColumn("_draw", F.explode("_draws"))
-    out = out.repartition(recipe.shards, F.col("_draw.shard")).sortWithinPartitions("_draw.shard", "_draw.place")
+    # a shard beyond 4096 x shard_words is written in parts, by its own random order
+    words = drawn.agg(F.coalesce(F.sum(F.aggregate("_draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])), F.lit(0))).first()[0]
+    shards = recipe.shards or n_shards(recipe, words)
+    parts = max(1, -(-words // (shards * recipe.shard_words)))
+    out = out.withColumn("_part", F.pmod("_draw.place", F.lit(parts)))
+    out = out.repartition(shards * parts, F.col("_draw.shard"), F.col("_part")).sortWithinPartitions("_draw.shard", "_part", "_draw.place")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
