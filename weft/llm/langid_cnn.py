@@ -181,7 +181,10 @@ class Predictor:
 def training_rows(docs: DataFrame, per_lang: int, parts: int = 4, held: int = 2) -> DataFrame:
     """text, lang of at most ``per_lang`` rows of each language outside the held-out fold."""
     keyed = docs.filter((fold(F.col("doc_id"), parts) != held) & F.col("lang").isNotNull()).select("doc_id", "lang")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    keyed = keyed.withColumn("_hash", F.xxhash64("doc_id")).withColumn("_salt", F.pmod("_hash", F.lit(64)))
+    salted = Window.partitionBy("lang", "_salt").orderBy("_hash", "doc_id")  # first within parts of a language
+    keyed = keyed.withColumn("_rank", F.row_number().over(salted)).filter(F.col("_rank") <= per_lang)
+    first = Window.partitionBy("lang").orderBy("_hash", "doc_id")
     chosen = keyed.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= per_lang).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
 
