@@ -49,7 +49,7 @@ def test_golden_plans(engine):
         "Root orders: [Order!]! from SALES",
         "  Scan SALES.Order [o_orderkey, o_custkey]",
         "  Object customer as Customer on {'o_custkey': 'c_custkey'}",
-        "    Scan SALES.Customer [c_custkey]",
+        "    Key SALES.Customer [c_custkey]",
         "    KeyJoin ACCOUNTS.Customer on (c_custkey) [c_name, c_nationkey]",
         "    Object nation as Nation on {'c_nationkey': 'n_nationkey'}",
         "      Key ACCOUNTS.Nation [n_nationkey]",

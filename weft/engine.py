@@ -93,9 +93,9 @@ class Result:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, sdl: str, options: Options | None = None):
+    def __init__(self, spark: SparkSession, sdl: str | Catalog, options: Options | None = None):
         self.spark, self.options = spark, options or Options()
-        self.catalog = Catalog(sdl)
+        self.catalog = sdl if isinstance(sdl, Catalog) else Catalog(sdl)
         self.registry = Registry(self.catalog, spark)
         self.subscriptions = Subscriptions()
         self.stored: dict[str, str] = {}

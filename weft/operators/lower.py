@@ -57,6 +57,9 @@ class Lowering:
 
     def hops(self, df: DataFrame, plan: EntityPlan, env: Env) -> DataFrame:
         for h in plan.hops:
+            if h.holder is None:
+                env |= {(h.source, p): self._find(plan, env, p) for p in h.key}
+                continue
             keys = {p: self._name(p) for p in h.key}
             columns = {c: self._name(c) for c in h.columns if c not in keys}
             right = self._table(h.source, h.holder).select(*[self.registry.column(h.source, h.holder, c).alias(n) for c, n in (keys | columns).items()])

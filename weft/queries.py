@@ -8,11 +8,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.catalog import Overrides
+from weft.catalog import Catalog, Overrides
 from weft.engine import Engine, Options
 from weft.functions import usage
 from weft.functions.cost import BUCKETS
@@ -54,7 +55,7 @@ type Nation @join__type(graph: GEO, key: "n_nationkey") @join__type(graph: ACCOU
   n_nationkey: Int! n_name: String @join__field(graph: GEO) region: Region @join__field(graph: GEO)
 }
 union Party @join__type(graph: ACCOUNTS) @join__unionMember(graph: ACCOUNTS, member: "Customer") @join__unionMember(graph: ACCOUNTS, member: "Supplier") = Customer | Supplier
-type Customer @join__type(graph: ACCOUNTS, key: "c_custkey") @join__type(graph: SALES, key: "c_custkey") @join__type(graph: ACTIVITY, key: "c_custkey", resolvable: false) {
+type Customer @join__type(graph: ACCOUNTS, key: "c_custkey") @join__type(graph: SALES, key: "c_custkey") @join__type(graph: ACTIVITY, key: "c_custkey") {
   c_custkey: Int!
   c_name: String @join__field(graph: ACCOUNTS) @join__field(graph: ACTIVITY, external: true)
   c_acctbal: Float @join__field(graph: ACCOUNTS) @requiresScopes(scopes: [["read:balance"], ["admin"]])
@@ -96,8 +97,13 @@ type Embedding @join__type(graph: VECTORS, key: "vec_id") { vec_id: Int! label:
 """
 
 
+@cache
+def _catalog() -> Catalog:
+    return Catalog(SDL)
+
+
 def engine(spark: SparkSession, sf_dir: str, options: Options | None = None) -> Engine:
-    e = Engine(spark, SDL, options)
+    e = Engine(spark, _catalog(), options)
     at = lambda name: f"{sf_dir}/{name}.parquet"
     read = lambda name: lambda s: s.read.parquet(at(name))
     e.source("geo", "Region", at("region")).source("geo", "Nation", at("nation"))
@@ -117,8 +123,6 @@ def engine(spark: SparkSession, sf_dir: str, options: Options | None = None) ->
     e.link("sales", "Order.customer", {"o_custkey": "c_custkey"}).link("sales", "Customer.orders", {"c_custkey": "o_custkey"}, ("o_orderkey",))
     e.link("sales", "Order.lineItems", {"o_orderkey": "l_orderkey"}, ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     e.link("sales", "LineItem.part", {"l_partkey": "p_partkey"}).link("sales", "LineItem.supplier", {"l_suppkey": "s_suppkey"})
-    # the customers that sales knows: a stub, read from the table of accounts
-    e.source("sales", "Customer", lambda s: s.read.parquet(at("customer")).select("c_custkey"))
     e.root("sales", "orders", ("o_orderkey",))
     e.source("activity", "Event", lambda s: s.read.parquet(at("events")).withColumn("u_name", F.format_string("Customer#%09d", "user_id")))
     e.link("activity", "Event.user", {"user_id": "c_custkey"}, carries={"u_name": "c_name"}).root("activity", "events", ("event_id",)).root("activity", "eventAdded", ("event_id",))

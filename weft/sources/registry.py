@@ -59,6 +59,7 @@ class Registry:
         self.roots: dict[tuple[str, str], Root] = {}
         self.resolvers: dict[tuple[str, str], Resolver] = {}
         self.mutations: dict[str, Callable[..., None]] = {}
+        self._paths: dict[str, DataFrame] = {}
 
     def add(self, source: str, type_name: str, load: Loader | DataFrame | str, columns: dict[str, str] | None = None) -> None:
         """A table (DataFrame, loader or Parquet path). columns: field path -> SQL expression, where
@@ -93,9 +94,13 @@ class Registry:
 
     def read(self, source: str, type_name: str) -> DataFrame:
         t = self.tables[source, type_name]
-        if isinstance(t.load, DataFrame):
-            return t.load
-        return self.spark.read.parquet(t.load) if isinstance(t.load, str) else t.load(self.spark)
+        if isinstance(t.load, str):  # one listing and one footer for each path
+            if t.load not in self._paths:
+                self._paths[t.load] = self.spark.read.parquet(t.load)
+            return self._paths[t.load]
+        if not isinstance(t.load, DataFrame):
+            t.load = t.load(self.spark)
+        return t.load
 
     def column(self, source: str, type_name: str, path: str) -> Column:
         t = self.tables.get((source, type_name))
