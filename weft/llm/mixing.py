@@ -176,11 +176,12 @@ def mixture(docs: DataFrame, recipe: Recipe = Recipe(split_last=False)) -> DataF
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (n_words(F.col("text")) == F.col("_size"))
     out = docs.join(drawn, same).withColumn("_draw", F.explode("_draws"))
     # a shard beyond 4096 x shard_words is written in parts, by its own random order
-    words = drawn.agg(F.coalesce(F.sum(F.aggregate("_draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])), F.lit(0))).first()[0]
-    shards = recipe.shards or n_shards(recipe, words)
-    parts = max(1, -(-words // (shards * recipe.shard_words)))
+    words, last = drawn.agg(F.sum(F.aggregate("_draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])), F.max(F.array_max(F.transform("_draws", lambda d: d["shard"])))).first()
+    shards = (last or 0) + 1
+    parts = max(1, -(-(words or 0) // (shards * recipe.shard_words)))
     out = out.withColumn("_part", F.pmod("_draw.place", F.lit(parts)))
-    out = out.repartition(shards * parts, F.col("_draw.shard"), F.col("_part")).sortWithinPartitions("_draw.shard", "_part", "_draw.place")
+    # one task for each part of a shard: a hash of so few numbers would put several into one
+    out = out.repartitionById(int(shards * parts), (F.col("_draw.shard") * F.lit(parts) + F.col("_part")).cast("int")).sortWithinPartitions("_draw.place")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
