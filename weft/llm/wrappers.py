@@ -11,7 +11,10 @@ host has no wrapper, is read by the same rules alone.
 
 Defined results: a null or empty html gives an empty text; a page without a host shares the
 wrapper of such pages; markup that is never closed ends with the page; whole pages are read,
-whatever their length. Rows that repeat are sampled once for each row.
+whatever their length. Rows that repeat are sampled once for each row. Elements below ``DEEPEST``
+levels are no nodes of the tree: their texts, still cut into blocks, belong to the element above
+them, and those that are furniture go. Sibling streams of more than ``EXACT_CELLS`` pairs are
+aligned greedily instead of by the longest common subsequence.
 """
 
 from __future__ import annotations
@@ -48,11 +51,17 @@ ROLES = frozenset("banner complementary contentinfo dialog form menu navigation
 _CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 
+DEEPEST = 200
+EXACT_CELLS = 1 << 20
+_AHEAD = 256  # how far the greedy alignment looks for a match
+
+
 @dataclass
 class Element:
     tag: str
     key: str  # tag and names: what alignment compares
     furniture: bool = False
+    inside: bool = False  # an article or main, or within one
     children: list = field(default_factory=list)  # elements and texts, in page order
 
 
@@ -71,6 +80,7 @@ def parse(page: str | None) -> Element:
     """The blocks of a page as a tree; inline tags vanish, ``br`` is white space."""
     root = Element("#page", "#page")
     stack = [root]
+    open_tags: Counter[str] = Counter()
     text = page or ""
     at = 0
     for m in _TOKEN.finditer(text):
@@ -83,8 +93,11 @@ def parse(page: str | None) -> Element:
         if tag not in BLOCKS and tag not in ("head", "button", "main"):
             continue
         if m["close"]:
+            if not open_tags[tag]:
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
+                    open_tags.subtract(e.tag for e in stack[i:])
                     del stack[i:]
                     break
                 if tag == "p" or (stack[i].tag in ("td", "th", "table", "article", "body") and tag in ("li", "dd", "dt")):
@@ -94,14 +107,21 @@ def parse(page: str | None) -> Element:
             stack[-1].children.append(_BREAK)
             continue
         while len(stack) > 1 and tag in _CLOSED_BY.get(stack[-1].tag, ()):
-            stack.pop()
+            open_tags[stack.pop().tag] -= 1
         words, roles = _names(m["attrs"] or "")
         new = Element(tag, " ".join([tag, *words]))
-        inside = any(e.tag in ("article", "main") for e in stack)
-        new.furniture = (tag in FURNITURE and not (tag == "header" and inside)) or bool(NAMES.intersection(words)) or bool(ROLES & roles)
-        stack[-1].children.append(new)
+        above = stack[-1]
+        new.inside = above.inside or tag in ("article", "main")
+        new.furniture = (tag in FURNITURE and not (tag == "header" and above.inside)) or bool(NAMES.intersection(words)) or bool(ROLES & roles)
+        if len(stack) <= DEEPEST:
+            above.children.append(new)
+        else:
+            above.children.append(_BREAK)
+            if not new.furniture:
+                new.children = above.children
         if tag not in VOID:
             stack.append(new)
+            open_tags[tag] += 1
     if at < len(text):
         stack[-1].children.append(_html.unescape(text[at:]))
     return root
@@ -204,25 +224,48 @@ def _merge(a: Node, b: Node) -> Node:
 
 def align(a: list[Node], b: list[Node]) -> list[Node]:
     """Two sibling streams as one: matches merge, the rest become optional."""
-    n, m = len(a), len(b)
+    x, y = [n.key for n in a], [n.key for n in b]
+    out, i, j = [], 0, 0
+    for to_i, to_j in [*(_longest(x, y) if len(x) * len(y) <= EXACT_CELLS else _greedy(x, y)), (len(x), len(y))]:
+        for n in (*a[i:to_i], *b[j:to_j]):
+            n.optional = True
+            out.append(n)
+        if to_i < len(x):
+            out.append(_merge(a[to_i], b[to_j]))
+        i, j = to_i + 1, to_j + 1
+    return _fold(out)
+
+
+def _longest(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence."""
+    n, m = len(x), len(y)
     common = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            common[i][j] = common[i + 1][j + 1] + 1 if a[i].key == b[j].key else max(common[i + 1][j], common[i][j + 1])
+            common[i][j] = common[i + 1][j + 1] + 1 if x[i] == y[j] else max(common[i + 1][j], common[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i].key == b[j].key:
-            out.append(_merge(a[i], b[j]))
+    while i < n and j < m:
+        if x[i] == y[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == m or (i < n and common[i + 1][j] >= common[i][j + 1]):
-            a[i].optional = True
-            out.append(a[i])
+        elif common[i + 1][j] >= common[i][j + 1]:
             i += 1
         else:
-            b[j].optional = True
-            out.append(b[j])
             j += 1
-    return _fold(out)
+    return out
+
+
+def _greedy(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Positions of a common subsequence, each the next one near by; linear in the streams."""
+    out, j = [], 0
+    for i, key in enumerate(x):
+        try:
+            at = y.index(key, j, j + _AHEAD)
+        except ValueError:
+            continue
+        out.append((i, at))
+        j = at + 1
+    return out
 
 
 def expression(n: Node) -> str:
