@@ -131,6 +131,16 @@ def test_html_pages(spark):
     assert wrappers.extract(empty(spark, "page_id long, url string, html string")).collect() == []
 
 
+def test_html_deep_and_wide_pages():
+    for depth in (150, 250, 20_000):
+        deep = "<div>" * depth + "a<nav>menu<p>item</nav>b<p>c" + "</div>" * depth + "d"
+        assert wrappers.apply(deep, None) == "a\nb\nc\nd"
+        assert wrappers.apply(deep, wrappers.infer([deep, deep.replace("c", "e")])) == "a\nb\nc\nd"
+    wide = "".join(f"<p>a{i}</p><h2>b{i}</h2>" for i in range(3000))
+    w = wrappers.infer([wide, "<ul><li>x</ul>" + wide])
+    assert "(<ul>" in w["expression"] and wrappers.apply(wide, w).count("\n") == 5999
+
+
 # 3
 
 
@@ -403,6 +413,42 @@ def test_rule_cutoffs_keep_the_good(spark):
     assert none.count() == 0
 
 
+def test_rule_levels_equal_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    counted = quality_rules.counts(d).withColumn("_worst", quality_rules.worst()).join(labels, "doc_id").select("_stratum", "base_failed", "_worst", "quality").toPandas()
+    rows = counted[~counted.base_failed]
+    names = sorted(rows._stratum.unique())
+    want = {}
+    for s in names:
+        worst, good = rows[rows._stratum == s]._worst.to_numpy(), (rows[rows._stratum == s].quality == 1).to_numpy()
+        best = None
+        for at in reversed(range(quality_rules.LEVELS)):
+            n, k = int(good.sum()), int((good & (worst > at)).sum())
+            cdf = sum(math.comb(n, i) * 0.03**i * 0.97 ** (n - i) for i in range(k + 1))
+            if k >= n * 0.03 or cdf > 0.05 / len(names):
+                break
+            gain = (~good & (worst > at)).sum() / max(1, (~good).sum()) - k / n
+            if best is None or gain > best[0]:
+                best = gain, at
+        if best:
+            want[s] = best[1]
+    out = quality_rules.judge(d, labels).join(labels, "doc_id").join(d.select("doc_id", "lang"), "doc_id").filter("not base_failed").select("lang", "quality", "kept").toPandas()
+    keeps = {(s, bool(q)): x.kept.mean() for (s, q), x in out.groupby(["lang", "quality"])}
+    assert set(want) == set(names)
+    for s in names:
+        of = rows[rows._stratum == s]
+        for q in (0, 1):
+            assert keeps[s, bool(q)] == (of[of.quality == q]._worst <= want[s]).mean()
+        assert keeps[s, False] <= 0.05 and keeps[s, True] >= 0.97
+
+
+def test_rules_with_odd_labels(spark, odd):
+    labels = spark.createDataFrame([(1, None), (None, 1), (2, 7), (1, 1), (1, 0)], "doc_id long, quality int").withColumn("_good", F.lit("clash"))
+    want = sorted(str((r.doc_id, r.base_failed)) for r in quality_rules.judge(odd, labels.limit(0)).collect())
+    assert sorted(str((r.doc_id, not r.kept)) for r in quality_rules.judge(odd, labels).collect()) == want
+
+
 # 10
 
 

@@ -1,18 +1,22 @@
 """Quality rules whose cutoffs are chosen under a risk bound. DataFrame functions only.
 
 Every document gets whole-text counts and, from them, one value for each rule; a rule rejects a
-value above its cutoff. Cutoffs come from the labelled documents of label 1 (none of them is used
-for anything else). For each stratum (the language; null is a stratum of its own), rule and cutoff
-of a fixed grid, the exact binomial (Clopper-Pearson) upper bound of the false-rejection rate is
-compared with the rule's share of ``risk``: the bound at confidence 1 - e lies below a exactly if
+value above its cutoff. The cutoffs of all rules form a ladder of levels, fixed beforehand, from
+lenient to strict; a document that any rule rejects at a level is rejected there. Levels are
+certified with the labelled holdout, in each stratum (the language; null is a stratum of its own):
+level by level, the exact binomial (Clopper-Pearson) upper bound of the joint false-rejection rate
+is compared with ``risk``. The bound at confidence 1 - e lies below a exactly if
 P(Binomial(n, a) <= k) <= e, where k of n good documents are rejected. e is ``doubt`` divided by
-the number of tests (Bonferroni over strata, rules and cutoffs), so with probability 1 - doubt no
-stratum loses more than ``risk`` of its good documents. The least cutoff that passes is taken; if
-none does (few labels), the rule rejects nothing in that stratum.
+the number of strata (Bonferroni); within a stratum the levels are tested in their fixed order and
+the first that fails ends the sequence, which needs no further correction. So with probability
+1 - doubt no certified level of any stratum loses more than ``risk`` of the good documents, and any
+of them may be chosen: the one with the greatest share of label 0 rejected less share of label 1
+rejected, ties to the more lenient. Where none is certified (few labels) the rules reject nothing.
 
 Defined results: null, empty and white-space texts have no words and fail the base; documents with
 a null language are judged by the cutoffs of that stratum; without labels only the base counts;
-repeated rows are judged alike, and labels that repeat count as often as they are given.
+repeated rows are judged alike, and labels that repeat count as often as they are given; labels
+other than 0 and 1 do not count.
 
 Scale: one pass over the texts, whose counts are kept in the shared folder; no text is shuffled.
 Work on a text of n words is O(n log n).
@@ -25,14 +29,15 @@ from pyspark.sql import functions as F
 
 from weft.llm._shared import WORD_GAP, cut
 
-#: rule -> cutoffs, from strict to lenient; a value above the cutoff is rejected
-GRID: dict[str, tuple[float, ...]] = {
+LEVELS = 8
+#: rule -> its cutoff at each level, from strict (level 0) to lenient; a value above it is rejected
+LADDER: dict[str, tuple[float, ...]] = {
     "symbols_per_word": (0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 0.75, 1.0),
-    "dup_line_share": (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8),
-    "repeat_word_share": (0.05, 0.1, 0.2, 0.3, 0.5, 0.7),
-    "capital_share": (0.1, 0.15, 0.2, 0.3, 0.5, 0.7, 0.9),
-    "marks_per_word": (0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5),
-    "same_word_share": (0.5, 0.6, 0.7, 0.8, 0.9, 0.95),
+    "dup_line_share": (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8),
+    "repeat_word_share": (0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7),
+    "capital_share": (0.1, 0.15, 0.2, 0.25, 0.3, 0.5, 0.7, 0.9),
+    "marks_per_word": (0.1, 0.2, 0.3, 0.4, 0.5, 0.75, 1.0, 1.5),
+    "same_word_share": (0.5, 0.6, 0.65, 0.7, 0.8, 0.85, 0.9, 0.95),
 }
 
 
@@ -97,27 +102,35 @@ def passes(k: Column, n: Column, rate: float, doubt: Column) -> Column:
     return F.when(k >= n * rate, F.lit(False)).otherwise(F.aggregate(steps, start, add, lambda a: a["s"]) <= F.log(doubt))
 
 
-def cutoffs(counted: DataFrame, labels: DataFrame, risk: float = 0.03, doubt: float = 0.05) -> DataFrame:
-    """_of (stratum), _cut (map: rule -> chosen cutoff)."""
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("_id"))
-    rows = counted.filter(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("_id"))
+def worst() -> Column:
+    """At how many levels, from the strict end, some rule rejects the document: it is rejected at
+    level l exactly if this exceeds l."""
     of = values()
-    tests = [(rule, c) for rule, grid in GRID.items() for c in grid]
-    rejected = [F.sum((of[rule] > c).cast("long")).alias(f"_k{i}") for i, (rule, c) in enumerate(tests)]
-    by = rows.groupBy("_stratum").agg(F.count("*").alias("_n"), *rejected)
-    listed = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cut"), F.col(f"_k{i}").alias("k")) for i, (rule, c) in enumerate(tests)])
+    above = [sum(((of[rule] > c).cast("int") for c in cuts), F.lit(0)) for rule, cuts in LADDER.items()]
+    return F.greatest(*above)
+
+
+def levels(counted: DataFrame, labels: DataFrame, risk: float = 0.03, doubt: float = 0.05) -> DataFrame:
+    """_of (stratum), _level (the chosen one) of the strata that have a certified level."""
+    known = labels.filter("quality IN (0, 1)").select(F.col("doc_id").alias("_id"), (F.col("quality") == 1).alias("_good"))
+    rows = counted.filter(~F.col("base_failed")).join(known, F.col("doc_id") == F.col("_id"))
+    rejected = lambda good, at: F.count_if((F.col("_good") == good) & (F.col("_worst") > at))
+    steps = F.array(*[F.struct(F.lit(at).alias("level"), rejected(True, at).alias("k"), rejected(False, at).alias("hits")) for at in range(LEVELS)])
+    by = rows.groupBy("_stratum").agg(F.count_if(F.col("_good")).alias("_n"), F.count_if(~F.col("_good")).alias("_bad"), steps.alias("_steps"))
     strata = by.agg(F.count("*").alias("_strata"))
-    tested = by.select("_stratum", "_n", F.explode(listed).alias("_t")).join(F.broadcast(strata))  # one row
-    ok = passes(F.col("_t.k"), F.col("_n"), risk / len(GRID), F.lit(doubt) / (F.col("_strata") * len(tests)))
-    chosen = tested.filter(ok).groupBy("_stratum", "_t.rule").agg(F.min("_t.cut").alias("_least"))
-    return chosen.groupBy(F.col("_stratum").alias("_of")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "_least"))).alias("_cut"))
+    tested = by.join(F.broadcast(strata))  # one row
+    tested = tested.select("_stratum", "_n", "_bad", "_strata", F.explode("_steps").alias("_t"))
+    tested = tested.withColumn("_ok", passes(F.col("_t.k"), F.col("_n"), risk, F.lit(doubt) / F.col("_strata")))
+    # the fixed order: a level counts if it and all more lenient ones pass
+    ends = tested.groupBy("_stratum").agg(F.coalesce(F.max(F.when(~F.col("_ok"), F.col("_t.level"))), F.lit(-1)).alias("_fails"))
+    certified = tested.join(ends.withColumnRenamed("_stratum", "_s"), F.col("_stratum").eqNullSafe(F.col("_s"))).filter(F.col("_t.level") > F.col("_fails"))
+    gain = F.col("_t.hits") / F.greatest("_bad", F.lit(1)) - F.col("_t.k") / F.greatest("_n", F.lit(1))
+    return certified.groupBy(F.col("_stratum").alias("_of")).agg(F.max_by("_t.level", F.struct(gain.alias("gain"), F.col("_t.level").alias("level"))).alias("_level"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.03, doubt: float = 0.05) -> DataFrame:
     """doc_id, n_words, the base counts, base_failed, kept."""
-    counted = cut(counts(docs))
-    judged = counted.join(cutoffs(counted, labels, risk, doubt), F.col("_stratum").eqNullSafe(F.col("_of")), "left")
-    broken = F.lit(False)
-    for rule, value in values().items():
-        broken = broken | F.coalesce(value > F.try_element_at("_cut", F.lit(rule)), F.lit(False))
+    counted = cut(counts(docs).withColumn("_worst", worst()))
+    judged = counted.join(levels(counted, labels, risk, doubt), F.col("_stratum").eqNullSafe(F.col("_of")), "left")
+    broken = F.coalesce(F.col("_worst") > F.col("_level"), F.lit(False))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~broken).alias("kept"))
