@@ -141,6 +141,27 @@ def test_html_deep_and_wide_pages():
     assert "(<ul>" in w["expression"] and wrappers.apply(wide, w).count("\n") == 5999
 
 
+def test_html_templates_count_all_pages(spark):
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    line = lambda k: " ".join(word() for _ in range(k))
+    story = [line(12) for _ in range(12)]
+    sites = {"copies": [], "mixed": [], "cover": []}
+    for i in range(40):  # near copies of one article: each changes one paragraph
+        changed = [line(12) if k == i % 12 else x for k, x in enumerate(story)]
+        sites["copies"].append(changed)
+        sites["mixed"].append([*(changed if i % 2 else [line(12), line(9)]), "Write to the editor"])
+        sites["cover"].append([line(12), line(8), *(["Read more on our front page"] if i % 10 else [])])
+    rows = [(k, f"http://{h}/{k}", page("<article>" + "".join(f"<p>{x}</p>" for x in p) + "</article>")) for k, (h, p) in enumerate((h, p) for h, ps in sites.items() for p in ps)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    gone = {"Write to the editor", "Read more on our front page"}
+    want = ["\n".join(x for x in p if x not in gone) for ps in sites.values() for p in ps]
+    assert [got[k] for k in range(len(want))] == want
+    for ps in sites.values():
+        w = wrappers.infer([page("<article>" + "".join(f"<p>{x}</p>" for x in p) + "</article>") for p in ps])
+        assert set(w["template"]) == gone & {x for p in ps for x in p}
+
+
 # 3
 
 

@@ -1,20 +1,26 @@
 """Main text of web pages by wrappers inferred from pages of one host.
 
-A page is a stream of tags and texts. For each host a bounded sample of pages (``sample`` with the
-smallest hash) is aligned into one union-free regular expression: elements that repeat next to each
-other fold into a repeated group, elements that only some pages have become optional, texts that
-differ become slots, texts that all pages share stay constants. The regular expression tells which
-region holds the host's changing text (its main region), which constant texts in it belong to
-the template, and which regions are menus, notices or other furniture by their names. Every page
-of the host is then read along the wrapper. A page that lacks the wrapper's main region, or whose
-host has no wrapper, is read by the same rules alone.
+A page is a stream of tags and texts. All pages of a host are aligned into one union-free regular
+expression, each task's into a partial one and these into the host's: elements that repeat next to
+each other fold into a repeated group, elements that only some pages have become optional, texts
+that differ become slots, texts that all pages share stay constants. The regular expression tells
+which region holds the host's changing text (its main region). Regions that are menus, notices or
+other furniture go by their names. A page that lacks the wrapper's main region, or whose host has
+no wrapper, is read by the same rules alone.
+
+A line of the main region belongs to the template if at least ``SHARE`` of the host's different
+texts have it, ``KINDS`` texts at least, counted over all pages. Near copies count once: texts that
+share one of their ``TOP`` longest lines, and all texts that are mostly made of lines that half of
+the host's texts have. A host whose pages all are such keeps all lines, as nothing tells a template
+from an article there.
 
 Defined results: a null or empty html gives an empty text; a page without a host shares the
 wrapper of such pages; markup that is never closed ends with the page; whole pages are read,
-whatever their length. Rows that repeat are sampled once for each row. Elements below ``DEEPEST``
+whatever their length. Elements below ``DEEPEST``
 levels are no nodes of the tree: their texts, still cut into blocks, belong to the element above
 them, and those that are furniture go. Sibling streams of more than ``EXACT_CELLS`` pairs are
-aligned greedily instead of by the longest common subsequence.
+aligned greedily instead of by the longest common subsequence; an alignment of more than ``WIDEST``
+siblings keeps those that most pages have.
 """
 
 from __future__ import annotations
@@ -27,11 +33,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weft.llm._shared import cut, ship
+from weft.llm.components import components
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
@@ -54,6 +61,10 @@ _CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
 DEEPEST = 200
 EXACT_CELLS = 1 << 20
 _AHEAD = 256  # how far the greedy alignment looks for a match
+WIDEST = 1 << 14
+_LONG = 200  # characters from which a wrapper keeps a text as its beginning and hash
+SHARE, KINDS, TOP = 0.8, 4, 3
+_HOSTS = 512  # partial wrappers that a task holds at once
 
 
 @dataclass
@@ -170,7 +181,7 @@ class Node:
     seen: int = 1  # pages
     texts: list = field(default_factory=list)  # of a text: those met, until it is a slot
     slot: bool = False
-    mass: float = 0.0  # characters of text that changes
+    mass: int = 0  # of a text: characters on all pages
     children: list = field(default_factory=list)
 
 
@@ -182,7 +193,7 @@ def _of_page(e: Element) -> Node:
         line = _SPACE.sub(" ", "".join(run)).strip()
         run.clear()
         if line:
-            out.children.append(Node("#", texts=[line]))
+            out.children.append(Node("#", texts=[line if len(line) <= _LONG else f"{line[:64]}... {xxhash.xxh3_64_hexdigest(line.encode('utf-8', 'surrogatepass'))}"], mass=len(line)))
 
     for c in e.children:
         if c is _BREAK:
@@ -203,8 +214,9 @@ def _fold(nodes: list[Node]) -> list[Node]:
     for n in nodes:
         if out and out[-1].key == n.key:
             last = out.pop()
+            seen = max(last.seen, n.seen)
             last = _merge(last, n)
-            last.repeated = True
+            last.repeated, last.seen = True, seen
             out.append(last)
         else:
             out.append(n)
@@ -213,10 +225,11 @@ def _fold(nodes: list[Node]) -> list[Node]:
 
 def _merge(a: Node, b: Node) -> Node:
     """One node for two that match."""
-    out = Node(a.key, a.optional or b.optional, a.repeated or b.repeated, a.furniture or b.furniture)
+    out = Node(a.key, a.optional or b.optional, a.repeated or b.repeated, a.furniture or b.furniture, a.seen + b.seen)
     if a.key == "#":
-        out.texts = list(dict.fromkeys([*a.texts, *b.texts]))[:4]
-        out.slot = a.slot or b.slot or len(out.texts) > 1
+        out.mass = a.mass + b.mass
+        out.slot = a.slot or b.slot or a.texts != b.texts
+        out.texts = [] if out.slot else a.texts
         return out
     out.children = align(a.children, b.children)
     return out
@@ -226,13 +239,19 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
     """Two sibling streams as one: matches merge, the rest become optional."""
     x, y = [n.key for n in a], [n.key for n in b]
     out, i, j = [], 0, 0
-    for to_i, to_j in [*(_longest(x, y) if len(x) * len(y) <= EXACT_CELLS else _greedy(x, y)), (len(x), len(y))]:
+    same = next((k for k, (m, n) in enumerate(zip(x, y)) if m != n), min(len(x), len(y)))
+    p, q = x[same:], y[same:]
+    rest = _longest(p, q) if len(p) * len(q) <= EXACT_CELLS else _greedy(p, q)
+    for to_i, to_j in [*((k, k) for k in range(same)), *((same + k, same + m) for k, m in rest), (len(x), len(y))]:
         for n in (*a[i:to_i], *b[j:to_j]):
             n.optional = True
             out.append(n)
         if to_i < len(x):
             out.append(_merge(a[to_i], b[to_j]))
         i, j = to_i + 1, to_j + 1
+    if len(out) > WIDEST:
+        most = sorted(range(len(out)), key=lambda k: (-out[k].seen, k))[:WIDEST]
+        out = [out[k] for k in sorted(most)]
     return _fold(out)
 
 
@@ -274,6 +293,57 @@ def expression(n: Node) -> str:
     return f"({inner})+" if n.repeated and not n.optional else f"({inner})*" if n.repeated else f"({inner})?" if n.optional else inner
 
 
+def _pack(n: Node) -> list:
+    return [n.key, n.optional, n.repeated, n.furniture, n.seen, n.texts, n.slot, n.mass, [_pack(c) for c in n.children]]
+
+
+def _unpack(x: list) -> Node:
+    return Node(*x[:8], [_unpack(c) for c in x[8]])
+
+
+def main_region(wrapper: Node) -> list[str]:
+    """The path of keys of the article or main element with most changing text."""
+    masses: Counter[tuple[str, ...]] = Counter()
+
+    def weigh(n: Node, path: tuple[str, ...]) -> float:
+        """Characters of slots below, without furniture; constants weigh less."""
+        if n.furniture:
+            return 0.0
+        if n.key == "#":
+            return n.mass * (1 if n.slot or wrapper.seen == 1 else 0.2)
+        mass = sum(weigh(c, (*path, c.key)) for c in n.children)
+        if n.key.split(" ")[0] in ("article", "main"):
+            masses[path] += mass
+        return mass
+
+    weigh(wrapper, ())
+    return list(min((p for p in masses if masses[p] > 0), key=lambda p: (-masses[p], p), default=()))
+
+
+def template_lines(texts: list[list[str]]) -> list[str]:
+    """The template of a host whose pages have these lines; what ``templates`` finds by Spark."""
+    kinds = {frozenset(x) for x in texts if x}
+    shared = Counter(x for s in kinds for x in s)
+    often = {x for x, k in shared.items() if k > 1 and 2 * k >= len(kinds)}
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for s in kinds:
+        own = s - often
+        if 4 * sum(map(len, own)) < sum(map(len, s)):
+            root[find(s)] = find("mostly shared")
+        else:
+            for x in sorted(own, key=lambda x: (-len(x), x))[:TOP]:
+                root[find(s)] = find(("line", x))
+    groups = {find(s) for s in kinds}
+    have = Counter(x for x, _ in {(x, find(s)) for s in kinds for x in s & often})
+    return sorted(x for x, k in have.items() if len(groups) >= KINDS and k >= SHARE * len(groups))
+
+
 def infer(pages: list[str | None]) -> dict:
     """The wrapper of a host: its expression, main region (path of keys) and template texts."""
     trees = [parse(p) for p in pages]
@@ -281,29 +351,8 @@ def infer(pages: list[str | None]) -> dict:
     for t in trees:
         node = _of_page(t)
         wrapper = node if wrapper is None else _merge(wrapper, node)
-    main: list[str] = []
-    if wrapper is not None:
-        best = 0.0
-
-        def weigh(n: Node, path: list[str]) -> float:
-            """Slots below, without furniture; a repeated slot weighs more."""
-            nonlocal best, main
-            if n.furniture:
-                return 0.0
-            if n.key == "#":
-                return float(max(map(len, n.texts), default=0)) * (2 if n.repeated else 1) * (1 if n.slot or len(trees) == 1 else 0.2)
-            mass = sum(weigh(c, [*path, c.key]) for c in n.children)
-            named = n.key.split(" ")[0] in ("article", "main")
-            if named and mass * 4 > best:
-                best, main = mass * 4, path
-            return mass
-
-        weigh(wrapper, [])
-    lines = [{x for _, x in blocks(_find(t, main) or t)} for t in trees]
-    kinds = {frozenset(x) for x in lines}
-    shared = Counter(x for s in lines for x in s)
-    # a line that every page has is template only if the pages really differ
-    template = sorted(x for x, k in shared.items() if k == len(trees)) if len(trees) >= 4 and len(kinds) >= 4 else []
+    main = main_region(wrapper) if wrapper else []
+    template = template_lines([_lines(t, main) for t in trees])
     return {"expression": expression(wrapper) if wrapper else "", "main": main, "template": template}
 
 
@@ -332,12 +381,14 @@ def _region(e: Element) -> Element | None:
     return found
 
 
+def _lines(tree: Element, main: list[str]) -> list[str]:
+    region = _find(tree, main) if main else None
+    return [t for _, t in blocks(region or _region(tree) or tree)]
+
+
 def apply(page: str | None, wrapper: dict | None) -> str:
-    tree = parse(page)
-    region = _find(tree, wrapper["main"]) if wrapper and wrapper["main"] else None
-    region = region or _region(tree) or tree
     template = set(wrapper["template"]) if wrapper else ()
-    return "\n".join(t for _, t in blocks(region) if t not in template)
+    return "\n".join(t for t in _lines(parse(page), wrapper["main"] if wrapper else []) if t not in template)
 
 
 # -- Spark ----------------------------------------------------------------------------------------
@@ -347,45 +398,95 @@ def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def learn(pages: DataFrame, sample: int = 8) -> DataFrame:
-    """_host, _wrapper (JSON)."""
+def learn(pages: DataFrame) -> DataFrame:
+    """_host, _wrapper (packed): all pages of each host, aligned."""
     ship(pages.sparkSession)
-    order = Window.partitionBy("_host").orderBy(F.xxhash64("page_id", "url"), "page_id")
-    keys = pages.select("page_id", "url", host(F.col("url")).alias("_host")).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample)
-    keys = cut(keys.select(F.col("page_id").alias("_id"), F.col("url").alias("_url"), "_host").distinct())
-    few = keys.count() * 200 < 32e6  # bytes in memory, about; else an ordinary join
-    chosen = pages.select("page_id", "url", "html").join(F.broadcast(keys) if few else keys, F.col("page_id").eqNullSafe(F.col("_id")) & F.col("url").eqNullSafe(F.col("_url")))
+    schema = "_host string, _part int, _wrapper string"
 
-    def of_host(g: pd.DataFrame) -> pd.DataFrame:
-        # rows that repeat an id are beyond the sample's size; the rest is bounded
-        g = g.sort_values(["page_id", "url"]).head(sample)
-        return pd.DataFrame({"_host": [g["_host"].iloc[0]], "_wrapper": [json.dumps(infer([x if isinstance(x, str) else None for x in g["html"]]))]})
+    def align_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, Node] = {}
 
-    return cut(chosen.select("_host", "page_id", "url", "html").groupBy("_host").applyInPandas(of_host, "_host string, _wrapper string"))
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame({"_host": list(held), "_wrapper": [json.dumps(_pack(n)) for n in held.values()]}, dtype=object)
+            held.clear()
+            return out
 
+        for batch in batches:
+            for of, page in zip(batch["_host"], batch["html"]):
+                node = _of_page(parse(page if isinstance(page, str) else None))
+                held[of] = _merge(held[of], node) if of in held else node
+                if len(held) >= _HOSTS:
+                    yield flush()
+        yield flush()
+
+    def add(g: pd.DataFrame) -> pd.DataFrame:
+        wrapper = None
+        for x in sorted(g["_wrapper"]):
+            node = _unpack(json.loads(x))
+            wrapper = node if wrapper is None else _merge(wrapper, node)
+        return pd.DataFrame({"_host": [g["_host"].iloc[0]], "_part": [-1], "_wrapper": [json.dumps(_pack(wrapper))]})
+
+    parts = pages.select(host(F.col("url")).alias("_host"), "html").mapInPandas(align_rows, "_host string, _wrapper string").select("_host", (F.spark_partition_id() % 64).alias("_part"), "_wrapper")
+    # two levels, so that no task gets the partial wrappers of all tasks
+    level = parts.groupBy("_host", "_part").applyInPandas(add, schema)
+    return cut(level.groupBy("_host").applyInPandas(add, schema).select("_host", "_wrapper"))
 
-def extract(pages: DataFrame, sample: int = 8) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
-    wrappers = learn(pages, sample)
-    size = wrappers.agg(F.coalesce(F.sum(F.length("_wrapper") + 100), F.lit(0))).first()[0]
+
+def read_along(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """page_id, url, _host, _lines: of every page the lines of its main region."""
 
     @F.pandas_udf("string")
-    def main_text(page: pd.Series, wrapper: pd.Series) -> pd.Series:
-        parsed: dict[str, dict] = {}
-        out = []
-        for p, w in zip(page, wrapper):
-            known = None
-            if isinstance(w, str):
-                known = parsed.get(w)
-                if known is None:
-                    known = json.loads(w)
-                    if len(parsed) < 4096:
-                        parsed[w] = known
-            out.append(apply(p if isinstance(p, str) else None, known))
-        return pd.Series(out, dtype=object)
-
-    slim = wrappers.withColumn("_wrapper", F.to_json(F.struct(F.from_json("_wrapper", "main array<string>, template array<string>").alias("w")))).withColumn("_wrapper", F.get_json_object("_wrapper", "$.w"))
-    slim = slim.withColumnRenamed("_host", "_of")
-    joined = pages.select("page_id", "url", "html", host(F.col("url")).alias("_host")).join(F.broadcast(slim) if size < 24e6 else slim, F.col("_host") == F.col("_of"), "left")
-    out = joined.select("page_id", "url", main_text("html", "_wrapper").alias("text"))
+    def region(packed: pd.Series) -> pd.Series:
+        return packed.map(lambda x: json.dumps(main_region(_unpack(json.loads(x)))))
+
+    known = cut(wrappers.select(F.col("_host").alias("_of"), region("_wrapper").alias("_main")))
+    size = known.agg(F.coalesce(F.sum(F.length("_of") + F.length("_main") + 100), F.lit(0))).first()[0]
+
+    @F.pandas_udf("array<string>")
+    def lines(page: pd.Series, main: pd.Series) -> pd.Series:
+        return pd.Series([_lines(parse(p if isinstance(p, str) else None), json.loads(m) if isinstance(m, str) else []) for p, m in zip(page, main)], dtype=object)
+
+    keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("_host"))
+    joined = keyed.join(F.broadcast(known) if size < 24e6 else known, F.col("_host") == F.col("_of"), "left")
+    return joined.select("page_id", "url", "_host", lines("html", "_main").alias("_lines"))
+
+
+def templates(read: DataFrame) -> DataFrame:
+    """_of, _template (hashes of lines) of the hosts that have one. read: _host, _lines."""
+    line = F.transform(F.array_distinct("_lines"), lambda x: F.struct(F.char_length(x).alias("n"), F.xxhash64(x).alias("h")))
+    kinds = read.filter(F.size("_lines") > 0).select("_host", F.array_sort(line).alias("_set")).distinct()
+    kinds = cut(kinds.select("_host", F.xxhash64("_host", "_set").alias("_kind"), "_set"))
+    total = kinds.groupBy(F.col("_host").alias("_of")).agg(F.count("*").alias("_all"))
+    counts = kinds.select("_host", F.explode("_set.h").alias("_h")).groupBy("_host", "_h").agg(F.count("*").alias("_k")).filter("_k > 1")
+    # of each host at most twice the lines of its mean page
+    often = cut(counts.join(total, F.col("_host") == F.col("_of")).filter("2 * _k >= _all").groupBy("_of").agg(F.collect_list("_h").alias("_often")))
+    few = often.agg(F.coalesce(F.sum(F.size("_often") * 8 + 100), F.lit(0))).first()[0] < 24e6
+
+    def weight(x):
+        return F.aggregate(x, F.lit(0).cast("long"), lambda t, y: t + y["n"])
+
+    at = kinds.join(F.broadcast(often) if few else often, F.col("_host") == F.col("_of"), "left").withColumn("_often", F.coalesce("_often", F.array().cast("array<bigint>")))
+    at = at.withColumn("_own", F.filter("_set", lambda x: ~F.array_contains("_often", x["h"]))).withColumn("_mostly", 4 * weight("_own") < weight("_set"))
+    at = cut(at.select("_host", "_kind", "_mostly", F.array_intersect("_set.h", "_often").alias("_has"), F.slice(F.reverse("_own"), 1, TOP)["h"].alias("_top")))
+    # texts that share one of their longest lines hang together
+    tops = at.filter("not _mostly").select("_kind", F.explode("_top").alias("_h"), "_host").select("_kind", F.xxhash64("_host", "_h").alias("_l"))
+    first = tops.groupBy(F.col("_l").alias("_x")).agg(F.min("_kind").alias("a"), F.max("_kind").alias("_z")).filter("a < _z")
+    links = tops.join(first, F.col("_l") == F.col("_x")).filter("a <> _kind").select("a", F.col("_kind").alias("b"))
+    roots = components(links)
+    group = F.when(F.col("_mostly"), F.lit(0).cast("long")).otherwise(F.coalesce("root", "_kind")).alias("_group")
+    grouped = cut(at.join(roots, F.col("_kind") == F.col("v"), "left").select("_host", group, "_has"))
+    groups = grouped.select("_host", "_group").distinct().groupBy(F.col("_host").alias("_o")).agg(F.count("*").alias("_groups"))
+    have = grouped.select("_host", "_group", F.explode("_has").alias("_h")).distinct().groupBy("_host", "_h").agg(F.count("*").alias("_k"))
+    found = have.join(groups, F.col("_host") == F.col("_o")).filter((F.col("_groups") >= KINDS) & (F.col("_k") >= SHARE * F.col("_groups")))
+    return cut(found.groupBy(F.col("_host").alias("_of")).agg(F.collect_list("_h").alias("_template")))
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    read = cut(read_along(pages, learn(pages)))
+    known = templates(read.select("_host", "_lines"))
+    few = known.agg(F.coalesce(F.sum(F.size("_template") * 8 + 100), F.lit(0))).first()[0] < 24e6
+    joined = read.join(F.broadcast(known) if few else known, F.col("_host") == F.col("_of"), "left").withColumn("_template", F.coalesce("_template", F.array().cast("array<bigint>")))
+    kept = F.filter("_lines", lambda x: ~F.array_contains("_template", F.xxhash64(x)))
+    out = joined.select("page_id", "url", F.array_join(kept, "\n").alias("text"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
