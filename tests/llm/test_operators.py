@@ -162,6 +162,17 @@ def test_html_templates_count_all_pages(spark):
         assert set(w["template"]) == gone & {x for p in ps for x in p}
 
 
+def test_html_regions_without_names():
+    rail = lambda i: f"<div class='rail'><ul><li>Offer {i * 7}</li><li>Offer {i * 7 + 1}</li></ul></div>"
+    pages = [page(f"<div id='wrap'><div id='content'><h1>Title {i}</h1><p>The long text of story number {i}</p><p>ends with {i}</p></div>{rail(i)}</div>") for i in range(6)]
+    w = wrappers.infer(pages)
+    assert [wrappers.apply(p, w) for p in pages] == [f"Title {i}\nThe long text of story number {i}\nends with {i}" for i in range(6)]
+    beside = [page(f"<h1>Title {i}</h1><div id='content'><p>The long text of story number {i}</p></div>{rail(i)}") for i in range(6)]
+    assert wrappers.apply(beside[0], wrappers.infer(beside)).startswith("Title 0\nThe long")
+    posts = [page(f"<article><p>one {i}</p></article><article><p>two {i}, longer</p></article>") for i in range(6)]
+    assert wrappers.apply(posts[3], wrappers.infer(posts)) == wrappers.apply(posts[3], None) == "one 3\ntwo 3, longer"
+
+
 # 3
 
 

@@ -4,9 +4,12 @@ A page is a stream of tags and texts. All pages of a host are aligned into one u
 expression, each task's into a partial one and these into the host's: elements that repeat next to
 each other fold into a repeated group, elements that only some pages have become optional, texts
 that differ become slots, texts that all pages share stay constants. The regular expression tells
-which region holds the host's changing text (its main region). Regions that are menus, notices or
-other furniture go by their names. A page that lacks the wrapper's main region, or whose host has
-no wrapper, is read by the same rules alone.
+which region holds the host's changing text (its main region): the article or main element with
+most of it or, on a host of ``KINDS`` pages or more without such elements, the element that one
+reaches from the page's top as long as one container holds over half of the changing text and no
+changing heading, paragraph, list or bare text stands beside it. All repeats of the region are read. What
+is furniture (menus, notices) and goes is a matter of tags and names, not of the expression. A page that lacks the wrapper's
+main region, or whose host has no wrapper, is read by tags and names alone.
 
 A line of the main region belongs to the template if at least ``SHARE`` of the host's different
 texts have it, ``KINDS`` texts at least, counted over all pages. Near copies count once: texts that
@@ -64,6 +67,7 @@ _AHEAD = 256  # how far the greedy alignment looks for a match
 WIDEST = 1 << 14
 _LONG = 200  # characters from which a wrapper keeps a text as its beginning and hash
 SHARE, KINDS, TOP = 0.8, 4, 3
+_CONTAINERS = frozenset("#page html body center div section table tbody td tr".split())
 _HOSTS = 512  # partial wrappers that a task holds at once
 
 
@@ -302,22 +306,42 @@ def _unpack(x: list) -> Node:
 
 
 def main_region(wrapper: Node) -> list[str]:
-    """The path of keys of the article or main element with most changing text."""
+    """The path of keys of the region with the host's changing text; empty for the whole page."""
     masses: Counter[tuple[str, ...]] = Counter()
+    changing: Counter[tuple[str, ...]] = Counter()
 
-    def weigh(n: Node, path: tuple[str, ...]) -> float:
-        """Characters of slots below, without furniture; constants weigh less."""
+    def weigh(n: Node, path: tuple[str, ...]) -> tuple[float, int]:
+        """Characters below, without furniture, constants weigh less; and of slots alone."""
         if n.furniture:
-            return 0.0
+            return 0.0, 0
         if n.key == "#":
-            return n.mass * (1 if n.slot or wrapper.seen == 1 else 0.2)
-        mass = sum(weigh(c, (*path, c.key)) for c in n.children)
-        if n.key.split(" ")[0] in ("article", "main"):
-            masses[path] += mass
-        return mass
+            mass, slots = n.mass * (1 if n.slot or wrapper.seen == 1 else 0.2), n.mass * n.slot
+        else:
+            below = [weigh(c, (*path, c.key)) for c in n.children]
+            mass, slots = sum(x for x, _ in below), sum(x for _, x in below)
+        masses[path] += mass
+        changing[path] += slots
+        return mass, slots
 
     weigh(wrapper, ())
-    return list(min((p for p in masses if masses[p] > 0), key=lambda p: (-masses[p], p), default=()))
+
+    def tag(path: tuple[str, ...]) -> str:
+        return path[-1].split(" ")[0] if path else "#page"
+
+    named = min((p for p in masses if tag(p) in ("article", "main") and masses[p] > 0), key=lambda p: (-masses[p], p), default=())
+    if named or wrapper.seen < KINDS:
+        return list(named)
+    inner: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
+    for p in changing:
+        if p and changing[p] > 0:
+            inner.setdefault(p[:-1], []).append(p)
+    at: tuple[str, ...] = ()
+    while at in inner and all(tag(p) in _CONTAINERS for p in inner[at]):
+        most = min(inner[at], key=lambda p: (-changing[p], p))
+        if 2 * changing[most] <= changing[at]:
+            break
+        at = most
+    return list(at)
 
 
 def template_lines(texts: list[list[str]]) -> list[str]:
@@ -356,34 +380,34 @@ def infer(pages: list[str | None]) -> dict:
     return {"expression": expression(wrapper) if wrapper else "", "main": main, "template": template}
 
 
-def _find(e: Element, path: list[str]) -> Element | None:
+def _find(e: Element, path: list[str]) -> list[Element]:
+    """All elements at the path."""
+    level = [e]
     for key in path:
-        e = next((c for c in e.children if isinstance(c, Element) and c.key == key), None)
-        if e is None:
-            return None
-    return e
+        level = [c for x in level for c in x.children if isinstance(c, Element) and c.key == key and not c.furniture]
+    return level
 
 
-def _region(e: Element) -> Element | None:
-    """The article or main element with most text, anywhere outside furniture."""
-    found, most = None, -1
-    stack = [e]
+def _region(e: Element) -> list[Element]:
+    """The article or main element with most text, anywhere outside furniture, and its repeats."""
+    found, most = [], -1
+    stack = [(e, e)]
     while stack:
-        x = stack.pop()
+        x, above = stack.pop()
         if x.furniture:
             continue
         if x.tag in ("article", "main"):
             size = sum(len(t) for _, t in blocks(x))
             if size > most:
-                found, most = x, size
+                found, most = [c for c in above.children if isinstance(c, Element) and c.key == x.key and not c.furniture], size
             continue
-        stack += [c for c in x.children if isinstance(c, Element)]
+        stack += [(c, x) for c in x.children if isinstance(c, Element)]
     return found
 
 
 def _lines(tree: Element, main: list[str]) -> list[str]:
-    region = _find(tree, main) if main else None
-    return [t for _, t in blocks(region or _region(tree) or tree)]
+    regions = (_find(tree, main) if main else []) or _region(tree) or [tree]
+    return [t for e in regions for _, t in blocks(e)]
 
 
 def apply(page: str | None, wrapper: dict | None) -> str:
