@@ -348,6 +348,21 @@ def test_join_odd(spark, odd):
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "6", "7"]
 
 
+def test_join_counts_all_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)  # several blocks a component
+    rnd = random.Random(1)
+    base, rows = [f"w{k}" for k in range(60)], []
+    for i in range(60):
+        base = list(base)
+        base[rnd.randrange(60)] = f"e{rnd.randrange(9)}"
+        rows += [(i, " ".join(base))] + [(100 + i, " ".join(base))] * (i % 3 == 0)
+    rows += [(900, "alone in the world of texts"), (901, None), (None, " ".join(base))]
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in ((t or "").split() for _, t in rows)]
+    want = [(i, sum(j != k and bool(x) and 100 * len(x & y) >= 80 * len(x | y) for j, y in enumerate(sets))) for k, ((i, _), x) in enumerate(zip(rows, sets))]
+    got = [(r.doc_id, r.n_links) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and max(n for _, n in want) > 5
+
+
 def test_choice_of_prefix():
     assert jaccard_join.choose(np.array([1] * 40), 40, 36, 4, 8.0) == 1
     assert jaccard_join.choose(np.array([1000] * 40), 40, 36, 4, 8.0) > 1

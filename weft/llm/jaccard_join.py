@@ -19,6 +19,11 @@ joined with themselves, across components and under the exact conditions above,
 thousands of near copies costs no quadratic work once it hangs together, and no link between
 different components is lost. All candidates are verified on the whole sets.
 
+All links of a document lie in its component, so the components, once known, tell where links are:
+the whole sets of each component are compared in blocks, every class with every other, and each
+document gets the number of rows it is linked with, equal sets included. No table of links is made;
+its rows would grow with the square of a group. Where components alone are wanted (``keep_one``), nothing is counted.
+
 Defined results: null, empty and white-space texts have no shingle, and link with nothing; a text
 with fewer than ``n`` words is one shingle; a null id never is a component's id unless all its ids
 are null; rows that repeat an id are one node only if their sets are equal.
@@ -42,6 +47,7 @@ from weft.llm.components import components
 
 SLOTS = 1 << 21
 _ROW = 1 << 15  # cells in a row of the count table on its way through the shuffle
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # classes and shingles in a block of a component, about
 
 
 _KINDS = {"n_shingles": pa.int64(), "cls": pa.int64(), "matches": pa.int32(), "typical": pa.float64(), "prefix": pa.list_(pa.int64())}
@@ -153,11 +159,68 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, perc
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, n: int = 3, percent: int = 90, most_matches: int = 4, verify: float = 8.0) -> DataFrame:
-    """doc_id, n_shingles, cls, component_id of every row."""
+def linked(sets: list[np.ndarray], others: list[np.ndarray], percent: int) -> Iterator[np.ndarray]:
+    """For each of ``sets``, which of ``others`` are similar. All are sorted and distinct."""
+    sizes = np.array([len(y) for y in others], np.int64)
+    tokens = np.concatenate(others)
+    owner = np.repeat(np.arange(len(others)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    for x in sets:
+        low, high = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(others))
+        yield 100 * both >= percent * (len(x) + sizes - both)
+
+
+def link_counts(docs: DataFrame, classes: DataFrame, roots: DataFrame, n: int, percent: int) -> DataFrame:
+    """_l (class), _links: rows of other classes that are similar. roots: v, root of the non-roots."""
+    of = roots.select(F.col("v").alias("cls"), "root").unionByName(roots.select(F.col("root").alias("cls"), "root").distinct())
+    held = cut(classes.select("cls", "rep", "size", "rows").join(of, "cls"))
+    wide = held.groupBy(F.col("root").alias("_r")).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
+    at = cut(held.join(wide, F.col("root") == F.col("_r")).select("cls", "rep", "rows", "root", "_blocks", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("_blocks")).cast("int").alias("_block")))
+    texts = docs.select("doc_id", "text").join(at, F.col("doc_id") == F.col("rep")).select("cls", "text", "rows", "root", "_blocks", "_block")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in (big.slice(i, 1024) for i in range(0, big.num_rows, 1024)):
+                sets = [shingle_hashes(lower_words_of(t), n) for t in utf8(batch.column(1))]
+                # rows that repeat an id with another text are not this class
+                good = pa.array([_class(x) == c for x, c in zip(sets, batch.column(0).to_pylist())], pa.bool_())
+                cells = pa.array([_signed(x).tobytes() for x in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), cells, *batch.columns[2:]], ["cls", "shingles", "rows", "root", "_blocks", "_block"]).filter(good)
+
+    sets = texts.mapInArrow(whole, "cls long, shingles binary, rows long, root long, _blocks int, _block int")
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
+    cells = sets.select("cls", "shingles", "rows", "root", "_block", other).select("cls", "shingles", "rows", "root", "_block", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
+
+    def count(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.drop_duplicates("cls")
+        low, high = (g[g["_block"] == k] for k in (g["_i"].iloc[0], g["_j"].iloc[0]))
+        if low.empty or high.empty:
+            return pd.DataFrame({"_l": [], "_links": []}, dtype="int64")
+        same = g["_i"].iloc[0] == g["_j"].iloc[0]
+        xs, ys = ([np.frombuffer(b, np.uint64) for b in f["shingles"]] for f in (low, high))
+        rows_x, rows_y = low["rows"].to_numpy(np.int64), high["rows"].to_numpy(np.int64)
+        of_x, of_y = np.zeros(len(xs), np.int64), np.zeros(len(ys), np.int64)
+        for k, similar in enumerate(linked(xs, ys, percent)):
+            if same:
+                similar[k] = False
+            of_x[k] = rows_y[similar].sum()
+            of_y[similar] += rows_x[k]
+        parts = [(low, of_x)] if same else [(low, of_x), (high, of_y)]
+        return pd.DataFrame({"_l": np.concatenate([f["cls"] for f, _ in parts]), "_links": np.concatenate([c for _, c in parts])})
+
+    found = cells.groupBy("root", "_i", "_j").applyInPandas(count, "_l long, _links long")
+    return cut(found.groupBy("_l").agg(F.sum("_links").alias("_links")))
+
+
+def join(docs: DataFrame, n: int = 3, percent: int = 90, most_matches: int = 4, verify: float = 8.0, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, cls, component_id of every row, and n_links: the other rows whose sets are similar."""
     ship(docs.sparkSession)
     rows = cut(prefixes(docs, frequencies(docs, n), n, percent, most_matches, verify))
-    classes = cut(rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep")))
+    classes = cut(rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.count("*").alias("rows")))
     one = rows.filter(F.col("cls").isNotNull()).join(classes.select(F.col("cls").alias("_c"), "rep"), (F.col("cls") == F.col("_c")) & (F.col("doc_id") == F.col("rep")), "left_semi")
     one = cut(one.select("cls", F.col("n_shingles").alias("size"), "matches", "typical", "prefix"))
     # a shingle can be the first that a pair shares only if enough are left behind it: for partners of at most ``most``
@@ -199,14 +262,19 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, most_matches: int = 4,
 
     named = classes.join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = cut(named.select("cls", "root").join(least, "root").select(F.col("cls").alias("_c"), "component_id"))
+    of_class = named.select("cls", "root", "rows").join(least, "root").select(F.col("cls").alias("_c"), "component_id", "rows")
+    if count_links:
+        counts = link_counts(docs, classes, roots, n, percent)
+        of_class = of_class.join(counts, F.col("_c") == F.col("_l"), "left").withColumn("n_links", F.col("rows") - 1 + F.coalesce("_links", F.lit(0))).drop("_l", "_links")
+    of_class = cut(of_class.drop("rows"))
     out = rows.select("doc_id", "n_shingles", "cls").join(of_class, F.col("cls") == F.col("_c"), "left")
-    return out.select("doc_id", "n_shingles", "cls", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    links_of = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    return out.select("doc_id", "n_shingles", "cls", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *links_of)
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, that stay when one document of each component does: that
     with the component's id. Of rows that repeat this id one stays for each text."""
-    out = join(docs, n, percent)
+    out = join(docs, n, percent, count_links=False)
     stay = out.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("cls").isNull()).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])

@@ -37,7 +37,7 @@ def op6_langid_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(_table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.join(_table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
