@@ -8,6 +8,7 @@ from weft.functions.cost import Budget, Estimator, bucket, saturating_sum
 from weft.functions.policy import User
 from weft.gql.normalize import normalize
 from weft.gql.syntax import GraphQLError, parse
+from weft.gql.validate import Limits
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -98,8 +99,58 @@ def test_budgets(spark):
         core.engine(spark, SF, Options(budget=Budget(most=5))).query(text)
     assert e.value.code == "COST_ESTIMATED_TOO_EXPENSIVE"
     assert core.engine(spark, SF, Options(budget=Budget(most=5, enforce=False))).query(text).estimated_cost == 2 * (1 + 10 * 2)
-    r = core.engine(spark, SF, Options(budget=Budget(per_source={"SALES": 1}))).query(text)
-    assert r.frames == {} and r.errors[0].code == "COST_SOURCE_TOO_EXPENSIVE"
+    for name in ("SALES", "sales"):  # the one read is left out: a list that must not be null takes its customer along
+        r = core.engine(spark, SF, Options(budget=Budget(per_source={name: 1}))).query("{ customers(first: 2) { c_custkey orders { o_orderkey } } }")
+        assert [(e.code, e.path) for e in r.errors] == [("COST_SOURCE_TOO_EXPENSIVE", ("customers", "orders"))] and [tuple(x) for x in r.df.collect()] == [(None, None)] * 2
+    r = core.engine(spark, SF, Options(budget=Budget(per_source={"accounts": 0}))).query(text)
+    assert r.frames == {} and r.errors[0].path == ("customers",)
+    with pytest.raises(GraphQLError):
+        core.engine(spark, SF, Options(budget=Budget(per_source={"nowhere": 1}))).query(text)
+    with pytest.raises(GraphQLError) as e:
+        core.engine(spark, SF).subscribe("subscription { eventAdded { event_id } }", options=Options(budget=Budget(most=0)))
+    assert e.value.code == "COST_ESTIMATED_TOO_EXPENSIVE"
+    with pytest.raises(GraphQLError):
+        core.engine(spark, SF).subscribe("subscription { eventAdded { event_id } }", options=Options(budget=Budget(per_source={"activity": 0})))
+
+
+def test_cache_never_widens_access(spark):
+    """Each answer is the same cold, and warm after a more permissive call."""
+    e, text = core.engine(spark, SF), "{ customers { c_acctbal nation { region { r_name } } } }"
+    admin = Options(user=User(True, frozenset({"admin"})))
+    assert e.query(text, options=admin).errors == [] and len(e.query(text).errors) == 1
+    for o in (Options(reject_unauthorized=True), Options(limits=Limits(depth=1)), Options(user=User(), limits=Limits(aliases=0, depth=2))):
+        with pytest.raises(GraphQLError):
+            e.query(text, options=o)
+    e.rules = (lambda c: ["no"],)
+    e.rules[0].__name__ = "never"
+    with pytest.raises(GraphQLError):
+        e.query(text, options=admin)
+    e.rules = ()
+    assert e.prepare(text, options=admin) is e.prepare(text, options=admin) and e.counters["plan_cache_hits"] >= 1
+    before = e.prepare(text, options=admin)
+    e.source("accounts", "Customer", f"{SF}/customer.parquet")  # other sources: another plan
+    assert e.prepare(text, options=admin) is not before
+    stream = "subscription { eventAdded { event_id } }"
+    prints = [e.fingerprint(stream, options=o) for o in (Options(), admin, Options(operation_filter=lambda t, f: True), Options(operation_filter=lambda t, f: False), Options(overrides=Overrides(frozenset({"x"}))), Options(user=User(True)))]
+    assert len(set(prints)) == len(prints) and e.fingerprint(stream, options=admin) == prints[1]
+
+
+def test_costs_add_up(spark):
+    for text in ("{ customers(first: 3) { c_custkey nation { n_name region { r_name } } orders(first: 2) { firstFlag lineItems { part { shipping } } } } }", "{ pieces { doc_id quality } }", "{ parts(first: 2) { shippingBand p_brand } }"):
+        r = core.engine(spark, SF, Options(budget=Budget(default_list_size=4))).query(text)
+        assert r.estimated_cost == sum(r.cost_by_source.values()) == sum(r.cost_by_fetch.values()) >= r.shape_cost > 0
+
+
+def test_reentry_is_bounded(spark, monkeypatch):
+    from weft.operators import lower
+
+    monkeypatch.setattr(lower, "REENTRY", 50)
+    e = core.engine(spark, SF)
+    assert len(e.query("{ regions { query { nations { n_name } } } }").df.first().query.nations) == 25
+    assert len(e.query("{ regions { query { orders(first: 7) { o_orderkey } } } }").df.first().query.orders) == 7
+    with pytest.raises(GraphQLError) as x:
+        e.query("{ regions { query { orders { o_orderkey } } } }")
+    assert x.value.code == "UNBOUNDED_REENTRY"
 
 
 def test_estimates():
@@ -214,6 +265,37 @@ def test_unplannable_and_introspection(nodes, engine):
         engine.query("{ __schema { queryType { name } } }", options=Options(introspection=False))
 
 
+def test_lookups_take_one_row_of_each_key(nodes, spark):
+    twice = spark.createDataFrame([(1, 7, "x", "b1"), (1, 7, "x", "b0"), (2, 8, "y", "b2")], "id int, no int, sku string, b string")
+    nodes.source("b", "Thing", twice, {"org.no": "no"}).source("a", "Circle", spark.createDataFrame([(10, 5), (10, 4)], "id int, size int"))
+    assert sorted((r.id, r.b, r.shape and r.shape.size__Circle) for r in nodes.query("{ things { id b shape { ... on Circle { size } ... on Square { size } } } }").df.collect()) == [(1, "b0", 4), (2, "b2", None), (3, None, None)]
+
+
+def test_unordered_slices_hold(nodes, spark):
+    nodes.source("a", "Again", spark.createDataFrame([(i,) for i in range(9)], "id int"))
+    assert nodes.query("{ again { id } }").df.count() == 9
+
+
+def test_listeners_share_a_stream_and_errors_stop_it(spark, tmp_path):
+    e = core.engine(spark, SF)
+    text = "subscription { eventAdded { event_id } }"
+    key, heard = e.fingerprint(text), [[], []]
+    go = lambda i: e.subscriptions.listen(key, e.subscribe(text), f"file://{tmp_path}/c", lambda b, n: heard[i].append(b.count()), available_now=False)
+    assert go(0) is go(1)
+    e.subscriptions.running[key].processAllAvailable()
+    assert sum(heard[0]) == 1000 >= sum(heard[1])
+
+    def bad(batch, number):
+        raise ValueError("broken")
+
+    q = e.subscriptions.listen("other", e.subscribe(text), f"file://{tmp_path}/d", bad)
+    with pytest.raises(Exception, match="broken"):
+        q.awaitTermination()
+    assert e.subscriptions.error("other")[0] == "SUBSCRIPTION_ERROR" and not q.isActive
+    e.reload(core.SDL)
+    assert e.subscriptions.error(key) == ("SUBSCRIPTION_SCHEMA_RELOAD", "the schema was replaced")
+
+
 def test_reload_ends_subscriptions(spark, tmp_path):
     e = core.engine(spark, SF)
     text = "subscription { eventAdded { event_id } }"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 
 from weft.catalog import Catalog, Overrides
 from weft.functions import policy
-from weft.functions.cost import Budget, Estimator, check, with_actual_cost
+from weft.functions.cost import MOST, Budget, Estimator, by_fetch, by_source, check, with_actual_cost
 from weft.functions.introspect import Introspection
 from weft.functions.usage import coordinates
 from weft.gql.normalize import normalize, partition
 from weft.gql.syntax import Document, Field, GraphQLError, Operation, document_hash, minify, parse, print_operation
 from weft.gql.validate import Limits, validate
 from weft.operators.lower import Lowering
+from weft.plans.partial import without
 from weft.plans.planner import Planner, RootPlan, describe, reads
 from weft.sources.registry import Registry
+from weft.storage import cut
 from weft.streaming.subscribe import Subscriptions, event_time
 from weft.variables import coerce_all
 
@@ -66,8 +68,10 @@ class Result:
     frames: dict[str, DataFrame]
     errors: list[GraphQLError] = field(default_factory=list)
     introspection: dict[str, Any] = field(default_factory=dict)
-    estimated_cost: int = 0
+    estimated_cost: int = 0  # of the plan, lookups included: the sum of cost_by_source
+    shape_cost: int = 0  # of the operation alone, without lookups
     cost_by_source: dict[str, int] = field(default_factory=dict)
+    cost_by_fetch: dict[tuple[str, str], int] = field(default_factory=dict)
     coordinates: list[str] = field(default_factory=list)
 
     @property
@@ -103,6 +107,8 @@ class Engine:
         self.hooks: list[Hooks] = []
         self._plans: OrderedDict[tuple, tuple] = OrderedDict()
         self.version = 0
+        self.counters: Counter[str] = Counter()
+        self._filters: list[Callable[[str, str], bool]] = []  # operation filters seen: their place names them
 
     # schema and sources
 
@@ -118,21 +124,29 @@ class Engine:
     def from_file(cls, spark: SparkSession, path: str, options: Options | None = None) -> Engine:
         return cls(spark, "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()), options)
 
-    def source(self, source: str, type_name: str, load, columns: dict[str, str] | None = None) -> Engine:
-        self.registry.add(source, type_name, load, columns)
+    def _changed(self) -> Engine:
+        """Plans made with other sources no longer count."""
+        self.version += 1
+        self._plans.clear()
         return self
 
+    def source(self, source: str, type_name: str, load, columns: dict[str, str] | None = None, unique: tuple[str, ...] | None = None) -> Engine:
+        """unique: columns that are a key of the table. Lookups by any other columns take one row of each."""
+        self.registry.add(source, type_name, load, columns, unique)
+        return self._changed()
+
     def link(self, source: str, coordinate: str, on: dict[str, str], order_by: tuple[str, ...] = (), tag: str | None = None, carries: dict[str, str] | None = None) -> Engine:
         self.registry.link(source, coordinate, on, order_by, tag, carries)
-        return self
+        return self._changed()
 
     def root(self, source: str, name: str, order_by: tuple[str, ...] = (), where=None) -> Engine:
         self.registry.root(source, name, order_by, where)
-        return self
+        return self._changed()
 
     def resolver(self, source: str, coordinate: str) -> Callable:
         def put(compute: Callable[[dict[str, Column], dict[str, Any]], Column]):
             self.registry.resolver(source, coordinate, compute)
+            self._changed()
             return compute
 
         return put
@@ -140,6 +154,7 @@ class Engine:
     def mutation(self, name: str) -> Callable:
         def put(run: Callable[..., None]):
             self.registry.mutation(name, run)
+            self._changed()
             return run
 
         return put
@@ -162,10 +177,13 @@ class Engine:
             text = self.stored[id]
         for h in self.hooks:
             text = h.on_parse(text) or text
-        key = (self.version, text, operation, json.dumps(variables or {}, sort_keys=True), o.overrides, o.user, o.operation_filter, o.introspection)
+        # everything that decides whether, and as what, an operation is let through
+        key = (self.version, text, operation, json.dumps(variables or {}, sort_keys=True, default=str), o.overrides, o.user, o.operation_filter, o.introspection, o.reject_unauthorized, o.limits, tuple(self.rules))
         if key in self._plans and not self.hooks:
             self._plans.move_to_end(key)
+            self.counters["plan_cache_hits"] += 1
             return self._plans[key]
+        self.counters["plan_cache_misses"] += 1
         doc = parse(text, o.limits.tokens)
         errors = validate(self.catalog, doc, self.rules, o.limits)
         for h in self.hooks:
@@ -198,9 +216,11 @@ class Engine:
 
     def query(self, text: str | None = None, variables: dict[str, Any] | None = None, operation: str | None = None, id: str | None = None, options: Options | None = None) -> Result:
         o = options or self.options
+        self.counters["requests"] += 1
         try:
             return self._query(text, variables, operation, id, o)
         except GraphQLError as e:
+            self.counters["errors"] += 1
             for h in self.hooks:
                 e = h.on_error(e) or e
             raise e
@@ -209,26 +229,54 @@ class Engine:
         op, meta, plans, refused = self.prepare(text, variables, operation, id, o)
         root_type = self.catalog.roots[op.kind]
         errors = [GraphQLError(f"{t}.{f}", why, (t, f)) for (t, f), why in refused.items()]
-        by_key = {f.key: f for f in op.selections if isinstance(f, Field)}
-        est = Estimator(self.catalog, o.budget.default_list_size)
-        total = est.operation(op.kind, [f for f in op.selections if f not in meta])
-        by_source = est.plan([(p, by_key[p.key]) for p in plans], op.kind, root_type)
-        blocked = check(o.budget, total, by_source)
-        if op.kind == "mutation":  # in the order of the operation, each before the next
-            for f in op.selections:
-                run = self.registry.mutations.get(f.name)
-                if run is not None:
-                    run(**f.args)
-            planner = Planner(self.catalog, self.registry, o.overrides, refused)
-            plans = plans + [planner.root(root_type, f) for f in op.selections if isinstance(f, Field) and f.name in self.registry.mutations and any(name == f.name for _, name in self.registry.roots)]
+        fetches, shape, total, costs, blocked = self._costs(op, meta, plans, o)
         frames: dict[str, DataFrame] = {}
-        for p in plans:
-            if _sources(p) & set(blocked):
-                errors.append(GraphQLError(f"{p.key}: a source is over its budget", "COST_SOURCE_TOO_EXPENSIVE", (p.key,)))
-                continue
-            frames[p.key] = self.lower(p, o)
+
+        def add(p: RootPlan) -> None:
+            kept, left_out = without(p, blocked) if blocked else (p, [])
+            for source, path in left_out:
+                errors.append(GraphQLError(f"{'.'.join(path)}: {source} is over its budget", "COST_SOURCE_TOO_EXPENSIVE", path))
+            if kept is not None:
+                frames[p.key] = self.lower(kept, o)
+
+        if op.kind == "mutation":
+            plans = self._mutate(op, plans, refused, o, add, frames)
+        else:
+            for p in plans:
+                add(p)
         intro = Introspection(self.catalog)
-        return Result(op, plans, frames, errors, {f.key: intro.answer(f) for f in meta}, total, by_source, coordinates(self.catalog, op))
+        return Result(op, plans, frames, errors, {f.key: intro.answer(f) for f in meta}, total, shape, costs, fetches, coordinates(self.catalog, op))
+
+    def _costs(self, op: Operation, meta: list[Field], plans: list[RootPlan], o: Options) -> tuple[dict, int, int, dict[str, int], set[str]]:
+        """By fetch, of the shape, in total, by source; and the sources over their budgets."""
+        est = Estimator(self.catalog, o.budget.default_list_size)
+        shape = est.operation(op.kind, [f for f in op.selections if f not in meta])
+        fetches = est.fetches(plans, op.kind, self.catalog.roots[op.kind])
+        costs = by_source(fetches)
+        planned = {p.key for p in plans}
+        rest = [f for f in op.selections if isinstance(f, Field) and f not in meta and f.key not in planned]  # planned once they have run
+        total = min(MOST, sum(costs.values()) + est.selections(self.catalog.roots[op.kind], rest) + (10 if op.kind == "mutation" and not plans else 0))
+        return fetches, shape, total, costs, check(self.catalog, o.budget, total, costs)
+
+    def _mutate(self, op: Operation, plans: list[RootPlan], refused: dict, o: Options, add: Callable[[RootPlan], None], frames: dict[str, DataFrame]) -> list[RootPlan]:
+        """Root fields one after the other: each result is fixed before the next one runs."""
+        planner = Planner(self.catalog, self.registry, o.overrides, refused)
+        ready, done = {p.key: p for p in plans}, []
+        fields = [f for f in op.selections if isinstance(f, Field) and f.name != "__typename"]
+        for f in fields:
+            run = self.registry.mutations.get(f.name)
+            if run is not None:
+                run(**f.args)
+            p = ready.get(f.key)
+            if p is None and any(name == f.name for _, name in self.registry.roots):
+                p = planner.root(self.catalog.roots[op.kind], f)
+            if p is None:
+                continue
+            add(p)
+            done.append(p)
+            if f is not fields[-1] and f.key in frames:
+                frames[f.key] = cut(frames[f.key])  # what later roots do to its sources must not show in it
+        return done
 
     def lower(self, plan: RootPlan, o: Options | None = None, streaming: dict | None = None) -> DataFrame:
         o = o or self.options
@@ -260,6 +308,11 @@ class Engine:
         base = self.catalog.field(self.catalog.roots[result.operation.kind], f.name).type.base
         return with_actual_cost(result.frames[key], self.catalog, base, f.selections)
 
+    def cost_by_fetch(self, result: Result, key: str) -> DataFrame:
+        """path, source, actual, estimated, delta of each read behind a root."""
+        p = next(x for x in result.plans if x.key == key)
+        return by_fetch(result.frames[key], self.catalog, p, result.cost_by_fetch)
+
     def usage_record(self, text: str, result: Result, ok: bool = True) -> DataFrame:
         doc = parse(text)
         return self.spark.createDataFrame([(document_hash(doc), minify(doc), result.operation.name, result.coordinates, result.estimated_cost, ok)], "hash string, body string, name string, coordinates array<string>, estimated_cost long, ok boolean")
@@ -268,36 +321,32 @@ class Engine:
 
     def subscribe(self, text: str, variables: dict[str, Any] | None = None, options: Options | None = None) -> DataFrame:
         """A streaming DataFrame: one row for each event of the root, enriched by keyed joins."""
-        op, _, plans, _ = self.prepare(text, variables, options=options)
+        o = options or self.options
+        op, meta, plans, _ = self.prepare(text, variables, options=o)
+        blocked = self._costs(op, meta, plans, o)[-1]
         if op.kind != "subscription" or len(plans) != 1:
             raise GraphQLError("a subscription with one root field is needed")
         p = plans[0]
+        kept, _ = without(p, blocked) if blocked else (p, [])
+        if kept is None:
+            raise GraphQLError(f"{p.source} is over its budget", "COST_SOURCE_TOO_EXPENSIVE", (p.key,))
+        p = kept
         streams = {(c.source, c.holder): event_time(self.registry.streams[c.source, c.holder](self.spark)) for c in p.children.values() if (c.source, c.holder) in self.registry.streams}
         if not streams:
             raise GraphQLError(f"{p.source} has no stream for {p.name}")
-        return self.lower(p, options, streams)
+        self.counters["subscriptions"] += 1
+        return self.lower(p, o, streams)
 
-    def fingerprint(self, text: str, variables: dict[str, Any] | None = None) -> str:
-        return f"{self.version}:{document_hash(parse(text))}:{json.dumps(variables or {}, sort_keys=True)}"
+    def fingerprint(self, text: str, variables: dict[str, Any] | None = None, options: Options | None = None) -> str:
+        """What two subscriptions must have in common to share a stream: the schema and its sources,
+        the operation, and everything of the user and options that its rows depend on."""
+        o = options or self.options
+        if o.operation_filter is not None and o.operation_filter not in self._filters:
+            self._filters.append(o.operation_filter)
+        who = [o.user.authenticated, sorted(o.user.scopes), None if o.operation_filter is None else self._filters.index(o.operation_filter), sorted(o.overrides.flags), o.overrides.percentage, o.reject_unauthorized, repr(o.limits), repr(o.budget), o.root_nulls]
+        return f"{self.version}:{document_hash(parse(text))}:{json.dumps(variables or {}, sort_keys=True, default=str)}:{json.dumps(who)}"
 
     def print(self, text: str, variables: dict[str, Any] | None = None) -> str:
         """The normal form of an operation."""
         return print_operation(self.prepare(text, variables)[0])
 
-
-def _sources(p: RootPlan) -> set[str]:
-    out = {p.source}
-
-    def walk(e) -> None:
-        out.add(e.source)
-        out.update(h.source for h in e.hops)
-        for f in e.fields:
-            if f.source:
-                out.add(f.source)
-            for c in f.children.values():
-                if c.source:
-                    walk(c)
-
-    for c in p.children.values():
-        walk(c)
-    return out

@@ -8,6 +8,7 @@ object is built last, from the leaves up, with its null rules. Nothing here runs
 
 from __future__ import annotations
 
+from dataclasses import replace
 from itertools import count
 from typing import Any
 
@@ -23,14 +24,25 @@ from weft.plans.planner import EntityPlan, FieldPlan, RootPlan
 from weft.sources.registry import Registry
 
 Env = dict[tuple[str, str], str]
+REENTRY = 1000  # rows that a root list below the root may have
 _TYPES = {"Int": T.LongType(), "Float": T.DoubleType(), "Boolean": T.BooleanType()}
 _COUNTS = ("first", "limit")
+_SLICES = (*_COUNTS, "last")
+
+
+def _slices(args: dict[str, Any]) -> tuple[int | None, int | None]:
+    """(first, last) of the arguments; with both, the last of the first."""
+    n = next((args[k] for k in _COUNTS if args.get(k) is not None), None)
+    last = args.get("last")
+    return (None if n is None else max(0, n)), (None if last is None else max(0, last))
 
 
 class Lowering:
     def __init__(self, catalog: Catalog, registry: Registry, streaming: dict[tuple[str, str], DataFrame] | None = None):
         self.catalog, self.registry, self.streaming = catalog, registry, streaming or {}
         self._ids = count()
+        self.before: dict[int, Any] = {}  # of a root's plan: its slice
+        self.marks: dict[int, str] = {}  # of an interface object's plan: true where a row is of its type
 
     def _name(self, hint: str) -> str:
         return f"_{next(self._ids)}_{hint.replace('.', '_')}"
@@ -47,7 +59,7 @@ class Lowering:
             df = df.filter(where(args))
         else:
             for k, v in args.items():
-                if k in (*_COUNTS, "last"):
+                if k in _SLICES:
                     continue
                 c = self.registry.column(plan.source, plan.holder, k)
                 df = df.filter(c.isNull() if v is None else c.isin(v) if isinstance(v, list) else c == F.lit(v))
@@ -62,12 +74,21 @@ class Lowering:
                 continue
             keys = {p: self._name(p) for p in h.key}
             columns = {c: self._name(c) for c in h.columns if c not in keys}
+            if not columns and not h.inner:  # nothing but the key itself: the join would change no row
+                env |= {(h.source, p): self._find(plan, env, p) for p in h.key}
+                continue
             right = self._table(h.source, h.holder).select(*[self.registry.column(h.source, h.holder, c).alias(n) for c, n in (keys | columns).items()])
+            if not self.registry.is_unique(h.source, h.holder, set(keys)):
+                right = one_each(right, list(keys.values()))
+            if h.inner:
+                mark = self._name("is")
+                right = right.withColumn(mark, F.lit(True))
+                self.marks[id(plan)] = mark
             on = None
             for p, n in keys.items():
                 left = F.col(self._find(plan, env, p))
                 on = (left == F.col(n)) if on is None else on & (left == F.col(n))
-            df = df.join(right, on, "inner" if h.inner else "left")
+            df = df.join(right, on, "left")
             env |= {(h.source, c): n for c, n in (keys | columns).items()}
         return df
 
@@ -85,7 +106,32 @@ class Lowering:
         for f in plan.fields:
             df, c = self.field(df, plan, env, f)
             values.append((f.key, c, f.type))
-        return df, build(values)
+        value = build(values)
+        return df, F.when(F.col(self.marks[id(plan)]), value) if id(plan) in self.marks else value
+
+    def rows_of(self, children: dict[str, EntityPlan], args: dict[str, Any], where=None) -> dict[str, tuple[DataFrame, Env, Column]]:
+        """type -> its rows, their columns and values. The types of an interface object come from
+        one scan, whose rows stay if no type claims them: they are one branch, with a null there."""
+        if not any(h.inner for c in children.values() for h in c.hops):
+            out = {}
+            for t, child in children.items():
+                df, env, _ = self.scan(child, args, where)
+                out[t] = (df, child, env)
+            return {t: (*self._sliced(*x, args, len(out) == 1),) for t, x in out.items()}
+        plans = list(children.values())
+        every = replace(plans[0], columns=list(dict.fromkeys(c for p in plans for c in p.columns)), hops=[], fields=[])
+        df, env, _ = self.scan(every, args, where)
+        values: dict[str, Column] = {}
+        for t, child in children.items():
+            df, values[t] = self.entity(df, child, dict(env))
+        wide = self.widen({t: (df, v) for t, v in values.items()})
+        return {"": (df, env, F.coalesce(*[F.when(values[t].isNotNull(), w) for t, w in wide.items()]))}
+
+    def _sliced(self, df: DataFrame, child: EntityPlan, env: Env, args: dict[str, Any], alone: bool) -> tuple[DataFrame, Env, Column]:
+        before = self.before.get(id(child)) if alone else None
+        df = before(df, env) if before else df  # the slice comes first, so that joins see only its rows
+        df, value = self.entity(df, child, env)
+        return df, env, value
 
     def field(self, df: DataFrame, plan: EntityPlan, env: Env, f: FieldPlan) -> tuple[DataFrame, Column]:
         if f.kind == "typename":
@@ -140,6 +186,8 @@ class Lowering:
                     here = F.col(n).isNotNull() if here is None else here & F.col(n).isNotNull()
             else:
                 right, sub, mark = self.scan(child, f.args)
+                if not self.registry.is_unique(child.source, child.holder, set(own)):
+                    right = one_each(right, [sub[child.source, c] for c in own])
                 on = None
                 for c, n in own.items():
                     same = F.col(n) == F.col(sub[child.source, c])
@@ -166,12 +214,12 @@ class Lowering:
         for concrete, child in f.children.items():
             if child.holder is None:
                 raise GraphQLError(f"{child.source} has no rows of {concrete} for a list")
-            sub, cenv, _ = self.scan(child, f.args)
-            sub, value = self.entity(sub, child, cenv)
+        for concrete, (sub, cenv, value) in self.rows_of(f.children, f.args).items():
+            child = f.children.get(concrete) or next(iter(f.children.values()))
             named = [F.col(cenv[child.source, c]).alias(k) for (_, c), k in zip(f.link.on, keys)] + [F.col(cenv[child.source, c]).alias(o) for c, o in zip(f.link.order_by, order)]
             rows[concrete] = sub.select(*named, value.alias("_v"))
             branches[concrete] = (rows[concrete], F.col("_v"))
-        if len(rows) == 1 and not self.catalog.is_abstract(f.type.base):
+        if len(rows) == 1 and ("" in rows or not self.catalog.is_abstract(f.type.base)):
             all_ = next(iter(rows.values()))
         else:
             wide = self.widen(branches)
@@ -179,13 +227,14 @@ class Lowering:
             for t, r in rows.items():
                 part = r.select(*keys, *order, F.when(F.col("_v").isNotNull(), wide[t]).alias("_v"))
                 all_ = part if all_ is None else all_.unionByName(part)
-        n = next((f.args[k] for k in _COUNTS if f.args.get(k) is not None), None)
-        last = f.args.get("last")
-        if (n is not None or last is not None) and order:
-            # pruned before rows are gathered: no parent brings more than its slice to a task
-            by = [F.col(o) if n is not None else F.desc(o) for o in order]
-            rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
-            all_ = all_.withColumn("_rank", rank).filter(F.col("_rank") <= max(0, n if n is not None else last)).drop("_rank")
+        n, last = _slices(f.args)
+        # without an order key the slice is by value, so that reruns agree
+        by = order or ([F.struct("_v")] if _sortable(all_, order) else [F.xxhash64(*keys)])
+        for most, ascending in ((n, True), (last, False)):
+            if most is not None:
+                # pruned before rows are gathered: no parent brings more than its slice to a task
+                rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.asc(o) if ascending else F.desc(o) for o in by]))
+                all_ = all_.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
         name = self._name(f.key)
         packed = F.collect_list(F.struct(*order, F.col("_v")))
         # structs keep null elements, which a bare collect_list would drop
@@ -199,12 +248,23 @@ class Lowering:
         return df, settle(F.coalesce(F.col(name), F.array().cast(grouped.schema[name].dataType)), f.type)
 
     def reentry(self, df: DataFrame, f: FieldPlan) -> tuple[DataFrame, Column]:
-        """The root again, below a position: one row, broadcast to all."""
+        """The root again, below a position. Its value is the same for every row, so it is made once
+        and broadcast, behind a check of its size: a root list that is not sliced to ``REENTRY`` rows
+        is counted, up to that number, and refused beyond it. Such a list would be one unbounded value
+        repeated in every row: ask for it as a root of its own."""
         values = []
         for r in f.roots:
             name = self._name(r.key)
+            sizes = [x for x in _slices(r.args) if x is not None]
             inner = self.root(r)
+            if r.type.of is not None and (not sizes or min(sizes) > REENTRY) and inner.limit(REENTRY + 1).count() > REENTRY:
+                raise GraphQLError(f"{f.key}.{r.key}: a root list below the root may have {REENTRY} rows: ask for a slice, or for it as a root of its own", "UNBOUNDED_REENTRY")
+            # an object is its first row; rows are at most REENTRY, so the broadcast is bounded
+            inner = inner if r.type.of is not None else inner.limit(1)
+            spec = self.registry.roots[r.source, r.name]
             one = inner.agg(F.collect_list(F.struct(*inner.columns)).alias(name))
+            if spec.order_by and _sortable(one.withColumnRenamed(name, "_v"), []):
+                one = one.select(F.array_sort(name).alias(name))
             df = df.crossJoin(F.broadcast(one))
             value = F.col(name) if r.type.of is not None else F.get(F.col(name), 0)
             values.append((r.key, settle(value, r.type), r.type))
@@ -231,30 +291,48 @@ class Lowering:
         spec = self.registry.roots[plan.source, plan.name]
         order = [self._name(o) for o in spec.order_by]
         branches, rows = {}, {}
-        for concrete, child in plan.children.items():
-            if child.holder is None:
-                continue
-            df, env, _ = self.scan(child, plan.args, spec.where)
-            n = next((plan.args[k] for k in _COUNTS if plan.args.get(k) is not None), None)
-            if n is not None and len(plan.children) == 1 and not any(h.inner for h in child.hops):
-                # the slice comes first, so that joins see only its rows
-                df = df.orderBy(*[env[child.source, o] for o in spec.order_by]).limit(max(0, n))
-            df, value = self.entity(df, child, env)
+        children = {t: c for t, c in plan.children.items() if c.holder is not None}
+        alone = len(plan.children) == 1 and not any(h.inner for c in children.values() for h in c.hops)
+        if alone and any(x is not None for x in _slices(plan.args)):
+            child = next(iter(children.values()))
+            self.before[id(child)] = lambda df, env: _slice(df, [env[child.source, o] for o in spec.order_by], plan.args)
+        for concrete, (df, env, value) in self.rows_of(children, plan.args, spec.where).items():
+            child = children.get(concrete) or next(iter(children.values()))
             rows[concrete] = df.select(*[F.col(env[child.source, c]).alias(o) for c, o in zip(spec.order_by, order)], value.alias("_v"))
             branches[concrete] = (rows[concrete], F.col("_v"))
-        if len(rows) == 1 and not self.catalog.is_abstract(plan.type.base):
+        if len(rows) == 1 and ("" in rows or not self.catalog.is_abstract(plan.type.base)):
             out = next(iter(rows.values()))
         else:
             wide, out = self.widen(branches), None
             for t, r in rows.items():
                 part = r.select(*order, F.when(F.col("_v").isNotNull(), wide[t]).alias("_v"))
                 out = part if out is None else out.unionByName(part)
-            n = next((plan.args[k] for k in _COUNTS if plan.args.get(k) is not None), None)
-            if n is not None:
-                out = out.orderBy(*order).limit(max(0, n))
+        if not alone:
+            out = _slice(out, order, plan.args)
         return (out.orderBy(*order) if ordered and order else out).select("_v.*")
 
 
+def _slice(df: DataFrame, order: list[str], args: dict[str, Any]) -> DataFrame:
+    """first and last of a root. Without an order key the order is that of all columns."""
+    n, last = _slices(args)
+    by = order or [c for c, t in ((f.name, f.dataType) for f in df.schema.fields) if not any(isinstance(x, T.MapType | T.VariantType) for x in _kinds(t))]
+    if n is not None:
+        df = df.orderBy(*[F.asc(o) for o in by]).limit(n)
+    if last is not None:
+        df = df.orderBy(*[F.desc(o) for o in by]).limit(last)
+    return df
+
+
+def one_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key, the least by its other columns: a lookup answers with one entity."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    if any(isinstance(x, T.MapType | T.VariantType) for c in rest for x in _kinds(df.schema[c].dataType)):
+        return df.dropDuplicates(keys)
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_one")).select(*keys, *[F.col("_one")[c].alias(c) for c in rest])
+
+
 def _sortable(df: DataFrame, order: list[str]) -> bool:
     """array_sort compares whole structs: fine unless a value after the order keys has no order."""
     return not any(isinstance(x, T.MapType | T.VariantType) for x in _kinds(df.schema["_v"].dataType))

@@ -5,7 +5,6 @@ Results are flattened to scalar columns; lists are compared as exploded rows, co
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import cache
@@ -16,10 +15,11 @@ from pyspark.sql import functions as F
 from weft.catalog import Catalog, Overrides
 from weft.engine import Engine, Options
 from weft.functions import usage
-from weft.functions.cost import BUCKETS
+from weft.functions.cost import BUCKETS, Budget
 from weft.functions.introspect import Introspection
 from weft.functions.policy import User
 from weft.gql.syntax import parse_selections
+from weft.storage import shared_dir
 
 SDL = """
 schema { query: Query mutation: Mutation subscription: Subscription }
@@ -28,7 +28,7 @@ directive @requiresScopes(scopes: [[String!]!]!) on FIELD_DEFINITION | OBJECT
 enum join__Graph {
   GEO @join__graph(name: "geo") ACCOUNTS @join__graph(name: "accounts") CATALOG @join__graph(name: "catalog")
   SALES @join__graph(name: "sales") ACTIVITY @join__graph(name: "activity") CORPUS @join__graph(name: "corpus")
-  RATINGS @join__graph(name: "ratings") VECTORS @join__graph(name: "vectors") STOCK @join__graph(name: "stock") CHATS @join__graph(name: "chats")
+  RATINGS @join__graph(name: "ratings") VECTORS @join__graph(name: "vectors") STOCK @join__graph(name: "stock") SHIPPING @join__graph(name: "shipping") CHATS @join__graph(name: "chats")
 }
 enum Status { O F }
 enum EventType { view signup purchase error click }
@@ -36,21 +36,22 @@ scalar JSON
 type Query {
   regions: [Region!]! @join__field(graph: GEO)
   nations: [Nation!]! @join__field(graph: GEO)
-  customers(c_custkey: Int, c_mktsegment: String, first: Int): [Customer!]! @join__field(graph: ACCOUNTS) @listSize(slicingArguments: ["first"], requireOneSlicingArgument: false)
+  customers(c_custkey: Int, c_mktsegment: String, first: Int, last: Int): [Customer!]! @join__field(graph: ACCOUNTS) @listSize(slicingArguments: ["first"], requireOneSlicingArgument: false)
   parties: [Party!]! @join__field(graph: ACCOUNTS)
   suppliers: [Supplier!]! @join__field(graph: CATALOG)
-  parts(first: Int, p_partkey: Int): [Part!]! @join__field(graph: CATALOG) @listSize(slicingArguments: ["first"], requireOneSlicingArgument: false)
+  parts(first: Int, last: Int, p_partkey: Int): [Part!]! @join__field(graph: CATALOG) @listSize(slicingArguments: ["first"], requireOneSlicingArgument: false)
   orders(first: Int, o_orderkey: Int): [Order!]! @join__field(graph: SALES) @listSize(slicingArguments: ["first"], requireOneSlicingArgument: false)
   events(event_type: EventType, first: Int): [Event!]! @join__field(graph: ACTIVITY)
   documents: [Document!]! @join__field(graph: CORPUS)
   pieces: [Piece!]! @join__field(graph: CORPUS)
+  scores: [Piece]! @join__field(graph: RATINGS)
   notes: [Note!]! @join__field(graph: RATINGS)
   turns: [Turn!]! @join__field(graph: CHATS)
   embeddings: [Embedding!]! @join__field(graph: VECTORS)
 }
 type Mutation { reprice(percent: Int!): [Part!]! @join__field(graph: CATALOG) }
 type Subscription { eventAdded(event_type: EventType): Event! @join__field(graph: ACTIVITY) }
-type Region @join__type(graph: GEO, key: "r_regionkey") { r_regionkey: Int! r_name: String nations: [Nation!]! }
+type Region @join__type(graph: GEO, key: "r_regionkey") { r_regionkey: Int! r_name: String nations: [Nation!]! query: Query @join__field(graph: GEO) }
 type Nation @join__type(graph: GEO, key: "n_nationkey") @join__type(graph: ACCOUNTS, key: "n_nationkey", resolvable: false) @join__type(graph: CATALOG, key: "n_nationkey", resolvable: false) {
   n_nationkey: Int! n_name: String @join__field(graph: GEO) region: Region @join__field(graph: GEO)
 }
@@ -61,7 +62,7 @@ type Customer @join__type(graph: ACCOUNTS, key: "c_custkey") @join__type(graph:
   c_acctbal: Float @join__field(graph: ACCOUNTS) @requiresScopes(scopes: [["read:balance"], ["admin"]])
   c_mktsegment: String @join__field(graph: ACCOUNTS)
   nation: Nation @join__field(graph: ACCOUNTS)
-  orders(first: Int, o_orderstatus: String): [Order!]! @join__field(graph: SALES) @listSize(slicingArguments: ["first"], assumedSize: 10, requireOneSlicingArgument: false)
+  orders(first: Int, last: Int, o_orderstatus: String): [Order!]! @join__field(graph: SALES) @listSize(slicingArguments: ["first"], assumedSize: 10, requireOneSlicingArgument: false)
   events: [Event!]! @join__field(graph: ACTIVITY)
 }
 type Supplier @join__type(graph: CATALOG, key: "s_suppkey") @join__type(graph: ACCOUNTS, key: "s_suppkey") @join__type(graph: SALES, key: "s_suppkey", resolvable: false) {
@@ -72,13 +73,15 @@ type Part @join__type(graph: CATALOG, key: "p_partkey") @join__type(graph: SALES
   p_name: String @join__field(graph: CATALOG)
   p_brand: String @join__field(graph: CATALOG, usedOverridden: true, overrideLabel: "brand_in_stock") @join__field(graph: STOCK, override: "catalog", overrideLabel: "brand_in_stock")
   p_type: String @join__field(graph: CATALOG, usedOverridden: true, overrideLabel: "percent(40)") @join__field(graph: STOCK, override: "catalog", overrideLabel: "percent(40)")
+  p_container: String @join__field(graph: CATALOG, usedOverridden: true) @join__field(graph: STOCK, override: "catalog")
   p_size: Int @join__field(graph: CATALOG)
   p_retailprice: Float @join__field(graph: CATALOG)
   shipping: Int @join__field(graph: STOCK, requires: "p_retailprice p_size")
   shippingBand: String @join__field(graph: STOCK, requires: "shipping")
 }
-type Order @join__type(graph: SALES, key: "o_orderkey") @cost(weight: 2) {
-  o_orderkey: Int! o_orderstatus: String status: Status o_orderpriority: String customer: Customer lineItems(first: Int): [LineItem!]! @listSize(assumedSize: 4)
+type Order @join__type(graph: SALES, key: "o_orderkey") @join__type(graph: SHIPPING, key: "o_orderkey") @cost(weight: 2) {
+  o_orderkey: Int! o_orderstatus: String @join__field(graph: SALES) status: Status @join__field(graph: SALES) o_orderpriority: String @join__field(graph: SALES) customer: Customer @join__field(graph: SALES) lineItems(first: Int): [LineItem!]! @join__field(graph: SALES) @listSize(assumedSize: 4)
+  firstFlag: String @join__field(graph: SHIPPING)
 }
 type LineItem @join__type(graph: SALES) { l_linenumber: Int! l_quantity: Float l_returnflag: String part: Part supplier: Supplier }
 type Event @join__type(graph: ACTIVITY, key: "event_id") { event_id: Int! event_type: EventType value: Float props: JSON user: Customer @join__field(graph: ACTIVITY, provides: "c_name") }
@@ -106,20 +109,22 @@ def engine(spark: SparkSession, sf_dir: str, options: Options | None = None) ->
     e = Engine(spark, _catalog(), options)
     at = lambda name: f"{sf_dir}/{name}.parquet"
     read = lambda name: lambda s: s.read.parquet(at(name))
-    e.source("geo", "Region", at("region")).source("geo", "Nation", at("nation"))
+    e.source("geo", "Region", at("region"), unique=("r_regionkey",)).source("geo", "Nation", at("nation"), unique=("n_nationkey",))
     e.link("geo", "Region.nations", {"r_regionkey": "n_regionkey"}, ("n_nationkey",))
     e.link("geo", "Nation.region", {"n_regionkey": "r_regionkey"})
     e.root("geo", "regions", ("r_regionkey",)).root("geo", "nations", ("n_nationkey",))
-    e.source("accounts", "Customer", at("customer")).link("accounts", "Customer.nation", {"c_nationkey": "n_nationkey"})
-    e.source("accounts", "Supplier", at("supplier"))
+    e.source("accounts", "Customer", at("customer"), unique=("c_custkey",)).link("accounts", "Customer.nation", {"c_nationkey": "n_nationkey"})
+    e.source("accounts", "Supplier", at("supplier"), unique=("s_suppkey",))
     e.root("accounts", "customers", ("c_custkey",)).root("accounts", "parties")
-    e.source("catalog", "Part", at("part")).source("catalog", "Supplier", at("supplier"))
+    e.source("catalog", "Part", at("part"), {"p_container": "concat('C', p_size)"}, unique=("p_partkey",)).source("catalog", "Supplier", at("supplier"), unique=("s_suppkey",))
     e.link("catalog", "Supplier.nation", {"s_nationkey": "n_nationkey"})
     e.root("catalog", "parts", ("p_partkey",)).root("catalog", "suppliers", ("s_suppkey",)).root("catalog", "reprice", ("p_partkey",), where=lambda args: F.lit(True))
-    e.source("stock", "Part", at("part"))
+    # its own values of the overridden fields, so that results tell the owners apart
+    e.source("stock", "Part", at("part"), {"p_brand": "concat('S-', p_brand)", "p_type": "upper(p_type)", "p_container": "concat('S', p_size)"}, unique=("p_partkey",))
     e.resolver("stock", "Part.shipping")(lambda c, a: F.when(c["p_retailprice"] > 1000, F.lit(0)).otherwise(F.floor(c["p_size"] / 2)).cast("long"))
     e.resolver("stock", "Part.shippingBand")(lambda c, a: F.when(c["shipping"] == 0, "free").when(c["shipping"] < 10, "low").otherwise("high"))
-    e.source("sales", "Order", at("orders"), {"status": "o_orderstatus"}).source("sales", "LineItem", at("lineitem"))
+    e.source("shipping", "Order", lambda s: s.read.parquet(at("lineitem")).select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("firstFlag")))  # several rows an order
+    e.source("sales", "Order", at("orders"), {"status": "o_orderstatus"}, unique=("o_orderkey",)).source("sales", "LineItem", at("lineitem"))
     e.link("sales", "Order.customer", {"o_custkey": "c_custkey"}).link("sales", "Customer.orders", {"c_custkey": "o_custkey"}, ("o_orderkey",))
     e.link("sales", "Order.lineItems", {"o_orderkey": "l_orderkey"}, ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     e.link("sales", "LineItem.part", {"l_partkey": "p_partkey"}).link("sales", "LineItem.supplier", {"l_suppkey": "s_suppkey"})
@@ -127,14 +132,14 @@ def engine(spark: SparkSession, sf_dir: str, options: Options | None = None) ->
     e.source("activity", "Event", lambda s: s.read.parquet(at("events")).withColumn("u_name", F.format_string("Customer#%09d", "user_id")))
     e.link("activity", "Event.user", {"user_id": "c_custkey"}, carries={"u_name": "c_name"}).root("activity", "events", ("event_id",)).root("activity", "eventAdded", ("event_id",))
     e.registry.stream("activity", "Event", lambda s: s.readStream.schema(s.read.parquet(at("events")).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("u_name", F.format_string("Customer#%09d", "user_id")))
-    e.source("corpus", "Document", at("documents")).root("corpus", "documents", ("doc_id",))
-    e.source("ratings", "Document", at("labels")).source("ratings", "Rating", at("labels")).source("ratings", "Note", read("documents"))
-    e.source("ratings", "Piece", at("labels"))
+    e.source("corpus", "Document", at("documents"), unique=("doc_id",)).root("corpus", "documents", ("doc_id",))
+    e.source("ratings", "Document", at("labels"), unique=("doc_id",)).source("ratings", "Rating", at("labels"), unique=("doc_id",)).source("ratings", "Note", read("documents"))
+    e.source("ratings", "Piece", at("labels"), unique=("doc_id",)).root("ratings", "scores", ("doc_id",))
     e.link("ratings", "Note.rating", {"doc_id": "doc_id"}).link("ratings", "Note.strict", {"doc_id": "doc_id"}).root("ratings", "notes", ("doc_id",))
     e.source("ratings", "Rating", lambda s: s.read.parquet(at("labels")).withColumn("quality", F.when(F.col("quality") == 1, 1)))
-    e.source("corpus", "EnglishPiece", lambda s: s.read.parquet(at("documents")).filter("lang = 'en'"))
-    e.source("corpus", "OtherPiece", lambda s: s.read.parquet(at("documents")).filter("lang <> 'en'")).root("corpus", "pieces", ("doc_id",))
-    e.source("chats", "Turn", at("conversations")).source("corpus", "Turn", lambda s: s.read.parquet(at("conversations")).select("conv_id", "turn", F.length("text").alias("size")))
+    e.source("corpus", "EnglishPiece", lambda s: s.read.parquet(at("documents")).filter("lang = 'en'"), unique=("doc_id",))
+    e.source("corpus", "OtherPiece", lambda s: s.read.parquet(at("documents")).filter("lang <> 'en'"), unique=("doc_id",)).root("corpus", "pieces", ("doc_id",))
+    e.source("chats", "Turn", at("conversations"), unique=("conv_id", "turn")).source("corpus", "Turn", lambda s: s.read.parquet(at("conversations")).select("conv_id", "turn", F.length("text").alias("size")), unique=("conv_id", "turn"))
     e.root("chats", "turns", ("conv_id", "turn"))
     e.source("vectors", "Embedding", at("embeddings")).root("vectors", "embeddings", ("vec_id",))
     return e
@@ -167,7 +172,33 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = engine(spark, sf_dir).query("{ customers(first: 3) { c_custkey nation { n_name } orders(first: 2) { o_orderkey lineItems { l_quantity } } } }")
-    return spark.createDataFrame([(r.estimated_cost,)], "cost long")
+    return spark.createDataFrame([(r.shape_cost,)], "cost long")
+
+
+def _with_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = engine(spark, sf_dir).query("{ customers(first: 3) { c_custkey nation { n_name } orders(first: 2) { o_orderkey firstFlag } } }")
+    return spark.createDataFrame([("total", r.estimated_cost), *r.cost_by_source.items()], "source string, cost long")
+
+
+def _partial_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SHIPPING is over its budget: its field is null, the rest of the answer stays."""
+    r = engine(spark, sf_dir, Options(budget=Budget(per_source={"shipping": 0}, default_list_size=1))).query("{ orders { o_orderkey firstFlag customer { c_name } } }")
+    return r.df.select("o_orderkey", "firstFlag", "customer.c_name")
+
+
+def _by_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    r = e.query("{ customers { nation { n_name } orders { o_orderkey firstFlag } } }")
+    return e.cost_by_fetch(r, "customers")
+
+
+def _two_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two roots of one mutation: the first one's rows are those from before the second ran."""
+    e = _with_reprice(spark, sf_dir)
+    r = e.query("mutation { a: reprice(percent: 10) { p_partkey p_retailprice } b: reprice(percent: 20) { p_partkey p_retailprice } }")
+    cents = lambda c: F.round(F.col(c) * 100).cast("long").alias(c)
+    a, b = (r.frames[k].select("p_partkey", F.col("p_retailprice").alias(k)) for k in "ab")
+    return a.join(b, "p_partkey").select("p_partkey", cents("a"), cents("b"))
 
 
 def _actual(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +244,7 @@ def _schema_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _introspect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Introspection(engine(spark, sf_dir).catalog).types_frame(spark).filter("type_name IN ('Customer', 'Party', 'Piece', 'Status')")
+    return Introspection(engine(spark, sf_dir).catalog).types_frame(spark)
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +260,7 @@ def _no_names(type_name: str, field: str) -> bool:
     return (type_name, field) != ("Region", "r_name")
 
 
-def _mutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _with_reprice(spark: SparkSession, sf_dir: str) -> Engine:
     e = engine(spark, sf_dir)
 
     @e.mutation("reprice")
@@ -237,15 +268,18 @@ def _mutation(spark: SparkSession, sf_dir: str) -> DataFrame:
         old = spark.read.parquet(f"{sf_dir}/part.parquet")
         e.source("catalog", "Part", old.withColumn("p_retailprice", F.round(F.col("p_retailprice") * (100 + percent) / 100, 2)))
 
-    return e.query("mutation { reprice(percent: 10) { p_partkey p_retailprice } }").df.select("p_partkey", F.round(F.col("p_retailprice") * 100).cast("long").alias("cents"))
+    return e
+
+
+def _mutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_reprice(spark, sf_dir).query("mutation { reprice(percent: 10) { p_partkey p_retailprice } }").df.select("p_partkey", F.round(F.col("p_retailprice") * 100).cast("long").alias("cents"))
 
 
 def _subscription(spark: SparkSession, sf_dir: str, where: str = "") -> DataFrame:
     """The stream run to its end; its rows read back from a Parquet sink."""
     e = engine(spark, sf_dir)
     text = f"subscription {{ eventAdded{where} {{ event_id event_type user {{ c_custkey c_mktsegment }} }} }}"
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weft-")
-    top = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     df = e.subscribe(text).select("event_id", "event_type", "user.c_custkey", "user.c_mktsegment")
     e.subscriptions.start(e.fingerprint(text), df, f"{top}/state", sink="parquet", options={"path": f"{top}/rows"}).awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{top}/rows")
@@ -257,6 +291,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "root_scan": _run("{ regions { r_regionkey r_name } }"),
     "root_arg_filter": _run("query($k: Int) { customers(c_custkey: $k) { c_custkey c_name c_mktsegment } }", variables={"k": 7}),
     "root_first": _run("{ parts(first: 5) { p_partkey p_name } }"),
+    "root_last": _run("{ parts(last: 5) { p_partkey p_name } }"),
+    "root_first_last": _run("{ customers(first: 20, last: 3) { c_custkey } }"),
+    "entity_duplicate_key": _run("{ orders { o_orderkey firstFlag } }"),
+    "slice_last": _exploded("{ customers { c_custkey orders(last: 2) { o_orderkey } } }", ["orders"], "c_custkey", "x0.o_orderkey AS o_orderkey"),
+    "slice_first_last": _exploded("{ customers { c_custkey orders(first: 5, last: 2) { o_orderkey } } }", ["orders"], "c_custkey", "x0.o_orderkey AS o_orderkey"),
+    "root_reentry": _exploded("{ regions { r_regionkey query { parts(first: 3) { p_partkey p_name } } } }", ["query.parts"], "r_regionkey", "x0.p_partkey AS p_partkey", "x0.p_name AS p_name"),
+    "interface_object_root": _run("{ scores { __typename doc_id quality ... on EnglishPiece { source } ... on OtherPiece { lang } } }", "__typename AS typename", "doc_id", "quality", "source", "lang"),
+    "override_full": _run("{ parts { p_partkey p_container } }"),
+    "mutation_two_roots": _two_mutations,
+    "cost_with_lookups": _with_lookups,
+    "partial_budget": _partial_budget,
+    "cost_by_fetch": _by_fetch,
     "alias_fields": _run("{ customers { id: c_custkey label: c_name again: c_name } }"),
     "same_field_two_args": _run("{ customers { c_custkey open: orders(o_orderstatus: \"O\") { o_orderkey } done: orders(o_orderstatus: \"F\") { o_orderkey } } }", "c_custkey", "cast(size(open) as bigint) AS n_open", "cast(size(done) as bigint) AS n_done"),
     "enum_guard": _run("{ orders { o_orderkey status } }"),
@@ -315,6 +361,22 @@ ORACLES: dict[str, str] = {
     "root_scan": "SELECT r_regionkey, r_name FROM region",
     "root_arg_filter": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey = 7",
     "root_first": "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 5",
+    "root_last": "SELECT p_partkey, p_name FROM part ORDER BY p_partkey DESC LIMIT 5",
+    "root_first_last": "SELECT c_custkey FROM (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 20) ORDER BY c_custkey DESC LIMIT 3",
+    "entity_duplicate_key": "SELECT o_orderkey, (SELECT min(l_returnflag) FROM lineitem WHERE l_orderkey = o_orderkey) AS firstFlag FROM orders",
+    "slice_last": "SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey DESC) AS n FROM customer JOIN orders ON o_custkey = c_custkey) WHERE n <= 2",
+    "slice_first_last": "SELECT c_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey DESC) AS m FROM (SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS n FROM customer JOIN orders ON o_custkey = c_custkey) WHERE n <= 5) WHERE m <= 2",
+    "root_reentry": "SELECT r_regionkey, p_partkey, p_name FROM region, (SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 3)",
+    "interface_object_root": "SELECT CASE WHEN lang = 'en' THEN 'EnglishPiece' WHEN lang <> 'en' THEN 'OtherPiece' END AS typename, d.doc_id, CASE WHEN d.doc_id IS NOT NULL THEN quality END AS quality, CASE WHEN lang = 'en' THEN source END AS source, CASE WHEN lang <> 'en' THEN lang END AS lang FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id",
+    "override_full": "SELECT p_partkey, 'S' || p_size AS p_container FROM part",
+    "mutation_two_roots": "SELECT p_partkey, CAST(round(round(p_retailprice * 110 / 100, 2) * 100) AS BIGINT) AS a, CAST(round(round(p_retailprice * 120 / 100, 2) * 100) AS BIGINT) AS b FROM part",
+    # customers 3 and their names; 3 nations looked up; 30 orders of weight 2, each looked up for its flag
+    "cost_with_lookups": "SELECT * FROM (VALUES ('total', CAST(3 + 3 + 3 + 60 + 60 AS BIGINT)), ('ACCOUNTS', 3 + 3), ('GEO', 3), ('SALES', 60), ('SHIPPING', 60)) t(source, cost)",
+    "partial_budget": "SELECT o_orderkey, CAST(NULL AS VARCHAR) AS firstFlag, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
+    # nothing was estimated for the list root, as no list size is known: one lookup each
+    "cost_by_fetch": """SELECT path, source, actual, estimated, actual - estimated AS delta FROM (VALUES
+        ('customers', 'ACCOUNTS', (SELECT count(*) FROM customer), 0), ('customers.nation', 'ACCOUNTS', (SELECT count(*) FROM customer), 0), ('customers.nation', 'GEO', (SELECT count(*) FROM customer), 1),
+        ('customers.orders', 'SALES', (SELECT 2 * count(*) FROM orders JOIN customer ON o_custkey = c_custkey), 0), ('customers.orders', 'SHIPPING', (SELECT 2 * count(*) FROM orders JOIN customer ON o_custkey = c_custkey), 2)) t(path, source, actual, estimated)""",
     "alias_fields": "SELECT c_custkey AS id, c_name AS label, c_name AS again FROM customer",
     "same_field_two_args": "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') AS n_open, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS n_done FROM customer",
     "enum_guard": "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'F') THEN o_orderstatus END AS status FROM orders",
@@ -333,9 +395,9 @@ ORACLES: dict[str, str] = {
     "requires_chain": f"SELECT p_partkey, CASE WHEN s = 0 THEN 'free' WHEN s < 10 THEN 'low' ELSE 'high' END AS shippingBand FROM (SELECT p_partkey, {_SHIPPING} AS s FROM part)",
     "requires_nested": f"SELECT o_orderkey, p_partkey, {_SHIPPING} AS shipping FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey",
     "provides_skip_join": "SELECT event_id, c_custkey, c_name FROM events LEFT JOIN customer ON user_id = c_custkey",
-    "override_flag": "SELECT p_partkey, p_brand FROM part",
+    "override_flag": "SELECT p_partkey, 'S-' || p_brand AS p_brand FROM part",
     "override_off": "SELECT p_partkey, p_brand FROM part",
-    "override_percent": "SELECT p_partkey, p_type FROM part",
+    "override_percent": "SELECT p_partkey, upper(p_type) AS p_type FROM part",
     "interface_object": "SELECT CASE WHEN lang = 'en' THEN 'EnglishPiece' ELSE 'OtherPiece' END AS typename, d.doc_id, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "union_list": "SELECT 'Customer' AS typename, c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 'Supplier', s_suppkey, s_name FROM supplier",
     "union_partial": "SELECT CAST(NULL AS BIGINT) AS s_suppkey, CAST(NULL AS VARCHAR) AS s_name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier",
@@ -356,7 +418,9 @@ ORACLES: dict[str, str] = {
     "cache_policy": "SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 0 ELSE min(event_id % 600) END AS max_age, bool_or(event_type = 'error') AS no_store, bool_or(event_type = 'purchase') AS private FROM events GROUP BY user_id",
     "schema_usage": "SELECT * FROM (VALUES ('Customer.c_name', 2, 2), ('Customer.nation', 1, 1), ('Nation.n_name', 2, 2), ('Query.customers', 2, 2), ('Query.nations', 1, 1)) t(coordinate, n, n_operations)",
     "json_scalar": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
-    "introspect_types": "SELECT * FROM (VALUES ('Customer', 'OBJECT', 7, 0), ('Party', 'UNION', 0, 2), ('Piece', 'INTERFACE', 3, 2), ('Status', 'ENUM', 0, 0)) t(type_name, kind, n_fields, n_possible)",
+    "introspect_types": """SELECT * FROM (VALUES ('Customer', 'OBJECT', 7, 0), ('Document', 'OBJECT', 6, 0), ('Embedding', 'OBJECT', 3, 0), ('EnglishPiece', 'OBJECT', 4, 0), ('Event', 'OBJECT', 5, 0), ('EventType', 'ENUM', 0, 0), ('JSON', 'SCALAR', 0, 0),
+        ('LineItem', 'OBJECT', 5, 0), ('Mutation', 'OBJECT', 1, 0), ('Nation', 'OBJECT', 3, 0), ('Note', 'OBJECT', 3, 0), ('Order', 'OBJECT', 7, 0), ('OtherPiece', 'OBJECT', 4, 0), ('Part', 'OBJECT', 9, 0), ('Party', 'UNION', 0, 2), ('Piece', 'INTERFACE', 3, 2),
+        ('Query', 'OBJECT', 14, 0), ('Rating', 'OBJECT', 2, 0), ('Region', 'OBJECT', 4, 0), ('Status', 'ENUM', 0, 0), ('Subscription', 'OBJECT', 1, 0), ('Supplier', 'OBJECT', 4, 0), ('Turn', 'OBJECT', 4, 0)) t(type_name, kind, n_fields, n_possible)""",
     "stored_operation": "SELECT r_regionkey, r_name FROM region",
     "mutation_reprice": "SELECT p_partkey, CAST(round(round(p_retailprice * 110 / 100, 2) * 100) AS BIGINT) AS cents FROM part",
     "sub_enrich": _EVENT_JOIN,

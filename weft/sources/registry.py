@@ -43,6 +43,7 @@ class Root:
 class Table:
     load: Loader | DataFrame | str
     columns: dict[str, str] = field(default_factory=dict)
+    unique: tuple[str, ...] | None = None  # columns that are declared to hold no value twice
 
 
 @dataclass
@@ -61,10 +62,18 @@ class Registry:
         self.mutations: dict[str, Callable[..., None]] = {}
         self._paths: dict[str, DataFrame] = {}
 
-    def add(self, source: str, type_name: str, load: Loader | DataFrame | str, columns: dict[str, str] | None = None) -> None:
+    def add(self, source: str, type_name: str, load: Loader | DataFrame | str, columns: dict[str, str] | None = None, unique: tuple[str, ...] | None = None) -> None:
         """A table (DataFrame, loader or Parquet path). columns: field path -> SQL expression, where
-        the name differs. Adding again replaces it: the override of a source's place."""
-        self.tables[self.catalog.source(source), type_name] = Table(load, dict(columns or {}))
+        the name differs. unique: columns declared to be a key of the table; lookups by keys that
+        are not declared take one row of each key. Adding again replaces the table, the override of
+        a source's place; it stays unique by the same columns unless others are given."""
+        at = self.catalog.source(source), type_name
+        before = self.tables.get(at)
+        self.tables[at] = Table(load, dict(columns or {}), tuple(unique) if unique is not None else before.unique if before else None)
+
+    def is_unique(self, source: str, type_name: str, columns: set[str]) -> bool:
+        t = self.tables.get((source, type_name))
+        return t is not None and t.unique is not None and set(t.unique) <= columns
 
     def stream(self, source: str, type_name: str, load: Loader) -> None:
         self.streams[self.catalog.source(source), type_name] = load

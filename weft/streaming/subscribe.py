@@ -22,6 +22,8 @@ class Subscriptions:
 
     def __init__(self):
         self.running: dict[str, StreamingQuery] = {}
+        self.listeners: dict[str, list] = {}
+        self.ended: dict[str, str] = {}  # fingerprint -> why its stream was ended from outside
 
     def start(self, fingerprint: str, df: DataFrame, checkpoint: str, *, sink: str = "memory", name: str | None = None, options: dict[str, str] | None = None, each_batch=None, available_now: bool = True) -> StreamingQuery:
         live = self.running.get(fingerprint)
@@ -37,11 +39,41 @@ class Subscriptions:
         self.running[fingerprint] = w.start()
         return self.running[fingerprint]
 
-    def end_all(self) -> int:
+    def listen(self, fingerprint: str, df: DataFrame, checkpoint: str, listener, *, available_now: bool = True) -> StreamingQuery:
+        """One running query for all listeners of a fingerprint: each micro-batch is given to every
+        ``listener(batch, batch_id)``. A listener that raises is an error event: the stream stops."""
+        heard = self.listeners.setdefault(fingerprint, [])
+        live = self.running.get(fingerprint)
+        if live is None or not live.isActive:
+            heard.clear()
+        heard.append(listener)
+
+        def tell(batch: DataFrame, number: int) -> None:
+            kept = batch.persist() if len(heard) > 1 else batch
+            try:
+                for each in list(heard):
+                    each(kept, number)
+            finally:
+                if kept is not batch:
+                    kept.unpersist()
+
+        return self.start(fingerprint, df, checkpoint, each_batch=tell, available_now=available_now)
+
+    def error(self, fingerprint: str) -> tuple[str, str] | None:
+        """(code, message) of the error that ended a subscription, if one did."""
+        if fingerprint in self.ended:
+            return "SUBSCRIPTION_SCHEMA_RELOAD", self.ended[fingerprint]
+        q = self.running.get(fingerprint)
+        e = None if q is None or q.isActive else q.exception()
+        return None if e is None else ("SUBSCRIPTION_ERROR", str(e))
+
+    def end_all(self, why: str = "the schema was replaced") -> int:
         n = 0
-        for q in self.running.values():
+        for k, q in self.running.items():
             if q.isActive:
                 q.stop()
+                self.ended[k] = why
                 n += 1
         self.running.clear()
+        self.listeners.clear()
         return n
