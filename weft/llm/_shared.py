@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -14,27 +13,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.storage import cut, shared_dir
+
 #: One word of every contract: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
+__all__ = ["WORD", "WORD_GAP", "cut", "fold", "lower_words_of", "named", "packed", "shared_dir", "shingle_hashes", "ship", "unpacked", "utf8", "words_of"]
+
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _MIX1 = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="weft-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once for each Spark application, and bound the batches that
-    Python workers hold (a batch of 64 MB of text, Spark's default, is several times that in Python)."""
+    Python workers hold (a batch of 64 MB of text, Spark's default, is several times that in Python).
+
+    The bound is a setting of the session, read when a plan is made, so it cannot be put back before
+    the lazy result is used: it stays. A value other than Spark's default is left alone."""
     if spark.conf.get(_BATCH) == "67108864b":
         spark.conf.set(_BATCH, str(8 << 20))
     sc = spark.sparkContext
@@ -49,12 +46,21 @@ def ship(spark: SparkSession) -> None:
     sc._weft_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later stages do not recompute it, and
-    a lost executor takes no part of it along."""
-    path = f"{shared_dir(df.sparkSession)}/weft-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Each row as one struct, ``row``, beside the given columns: whatever names the columns of
+    ``df`` have, none can clash with a name that an operator uses. ``unpacked`` undoes it."""
+    return df.select(F.struct(*[named(c) for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of the rows that ``packed`` made; ``changed``: new values of some of them."""
+    field = lambda c: F.col("row").getField(c)
+    return df.select(*[changed.get(c, field(c)).alias(c) for c in columns])
 
 
 def fold(doc_id: Column, parts: int) -> Column:
