@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weft.llm import ann_partitions, bpe, jaccard_join, langid_cnn, line_spread, mixing, quality_knn, quality_rules, warc_zip, wrappers
 
@@ -13,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.size("draws").cast("long").alias("n_draws"))
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
