@@ -5,13 +5,14 @@ text (distinct words, words equal to the one before, distinct lines, marks, capi
 word). Their square-root frequencies,
 weighted by inverse document frequency, are projected on the leading right singular vectors of
 the labelled sample. The labelled vectors (at most ``most`` x ``dim`` floats, a fixed bound) are
-broadcast; each text's cosines with all of them are computed exactly, in blocks, and its ``k``
-nearest vote with their similarity as weight.
+broadcast; each text's cosines with all of them are computed in blocks, those that can be among its
+``k`` nearest once more as sums in a fixed order, and the ``k`` nearest vote with their similarity as weight.
 
 Defined results: null, empty and white-space texts have the zero vector and get the share of
 label 1 among the labelled rows, as does every text if no label is known (share 0.5). Equal texts
-get equal scores. Ties among neighbours go to the lower row of the labelled matrix. The labelled
-rows are those outside the held-out fold, at most ``most`` of them (smallest hash of the id).
+get equal scores, bit for bit, whatever the texts around them. Ties among neighbours go to the lower row of the labelled matrix. The labelled
+rows are those outside the held-out fold, at most ``most`` of them (smallest hash of the id), also
+where ids repeat in the documents or the labels.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._shared import fold, ship
+from weft.llm._shared import fold, packed, ship, unpacked
 
 PAIRS = 64 * 64
 BINS = 12
@@ -87,7 +88,7 @@ def features(text: str | None) -> np.ndarray:
 @dataclass
 class Space:
     idf: np.ndarray
-    axes: np.ndarray  # TERMS x dim
+    axes: np.ndarray  # TERMS x dim, doubles
     vectors: np.ndarray  # labelled rows x dim, of length 1
     labels: np.ndarray
     prior: float
@@ -97,23 +98,33 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def learn(texts: list[str | None], labels: list[int], dim: int = 48, ratio_weight: float = 0.35, seed: int = 5) -> Space:
-    x = np.stack([features(t) for t in texts]) if texts else np.zeros((0, TERMS), np.float32)
+def learn(x: np.ndarray, labels: list[int], dim: int = 48, ratio_weight: float = 0.35, seed: int = 5) -> Space:
+    """x: a row of ``features`` for each labelled text."""
+    x = np.array(x, np.float32).reshape(-1, TERMS)
     real = x.any(axis=1)
     x, y = x[real], np.asarray(labels, np.float64)[real] if len(labels) else np.zeros(0)
     prior = float(y.mean()) if len(y) else 0.5
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.5).astype(np.float32)
     idf[PAIRS:] = ratio_weight
-    x *= idf
     dim = min(dim, len(x), TERMS)
     if not dim:
-        return Space(idf, np.zeros((TERMS, 0), np.float32), np.zeros((0, 0), np.float32), y, prior)
+        return Space(idf, np.zeros((TERMS, 0)), np.zeros((0, 0)), y, prior)
+    weighted = x * idf
     basis = np.random.default_rng(seed).normal(size=(TERMS, dim + 8)).astype(np.float32)
     for _ in range(4):  # subspace iteration
-        basis = np.linalg.qr(x.T @ (x @ basis))[0]
-    turn = np.linalg.svd(x @ basis, full_matrices=False)[2]
-    axes = (basis @ turn[:dim].T).astype(np.float32)
-    return Space(idf, axes, _unit(x @ axes).astype(np.float32), y, prior)
+        basis = np.linalg.qr(weighted.T @ (weighted @ basis))[0]
+    turn = np.linalg.svd(weighted @ basis, full_matrices=False)[2]
+    axes = (basis @ turn[:dim].T).astype(np.float64)
+    space = Space(idf, axes, np.zeros((0, dim)), y, prior)
+    space.vectors = np.stack([vector(space, f) for f in x])
+    return space
+
+
+def vector(space: Space, f: np.ndarray) -> np.ndarray:
+    """The unit vector of one text. A sum of the axes' rows in term order: it depends on the text
+    alone, not on the texts it is computed with, as a product of whole blocks would."""
+    at = np.flatnonzero(f)
+    return _unit((space.axes[at] * (f[at] * space.idf[at]).astype(np.float64)[:, None]).sum(axis=0))
 
 
 def vote(space: Space, texts: list[str | None], k: int = 15, block: int = 256) -> np.ndarray:
@@ -123,22 +134,52 @@ def vote(space: Space, texts: list[str | None], k: int = 15, block: int = 256) -
         return out
     k = min(k, n)
     for a in range(0, len(texts), block):
-        x = np.stack([features(t) for t in texts[a : a + block]])
-        real = x.any(axis=1)
-        cosine = _unit((x * space.idf) @ space.axes) @ space.vectors.T
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < n else np.broadcast_to(np.arange(n), (len(x), n))
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1).astype(np.float64), 1e-6) ** 4
-        score = (weight * space.labels[near]).sum(axis=1) / weight.sum(axis=1)
-        out[a : a + block][real] = np.clip(score[real], 0, 1)
+        terms = [features(t) for t in texts[a : a + block]]
+        real = [i for i, f in enumerate(terms) if f.any()]
+        if not real:
+            continue
+        x = np.stack([vector(space, terms[i]) for i in real])
+        cosine = x @ space.vectors.T
+        # the product of the block only preselects, with slack for its rounding; sums in a fixed order decide
+        edge = np.partition(cosine, n - k, axis=1)[:, n - k] - 1e-12
+        for i, v, row, low in zip(real, x, cosine, edge):
+            near = np.flatnonzero(row >= low)
+            exact = (space.vectors[near] * v).sum(axis=1)
+            first = np.lexsort((near, -exact))[:k]  # ties go to the lower row
+            weight = np.maximum(exact[first], 1e-6) ** 4
+            out[a + i] = min(1.0, max(0.0, float((weight * space.labels[near[first]]).sum() / weight.sum())))
+    return out
+
+
+def pack(f: np.ndarray) -> bytes:
+    """Terms of a text as positions and values: at most 6 bytes for each of ``TERMS``."""
+    at = np.flatnonzero(f).astype(np.uint16)
+    return at.tobytes() + f[at].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    out = np.zeros(TERMS, np.float32)
+    out[np.frombuffer(data[: 2 * n], np.uint16)] = np.frombuffer(data[2 * n :], np.float32)
     return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, parts: int = 5, held: int = 0) -> Space:
-    known = labels.filter(F.col("quality").isNotNull() & (fold(F.col("doc_id"), parts) != held)).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality"))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id", "_quality").limit(most)
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "_quality").collect()
-    rows.sort(key=lambda r: (r.text or "", r._quality))
-    return learn([r.text for r in rows], [int(r._quality == 1) for r in rows])
+    """The space of ``most`` labelled rows at most, those with the smallest hash of the id. Terms are
+    counted in the tasks: the driver gets 25 KB a row at most, whatever the texts' lengths."""
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("binary")
+    def terms(texts: pd.Series) -> pd.Series:
+        return pd.Series([pack(features(t)) for t in texts], dtype=object)
+
+    known = labels.filter(F.col("quality").isNotNull() & (fold(F.col("doc_id"), parts) != held)).select(F.col("doc_id").alias("of"), F.col("quality").alias("quality"))
+    chosen = known.orderBy(F.xxhash64("of"), "of", "quality").limit(most)
+    mine = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text"))
+    rows = mine.join(F.broadcast(chosen), F.col("id") == F.col("of")).select("id", "quality", terms("text").alias("terms"))
+    # ids may repeat in the documents: the bound holds for rows too
+    rows = rows.orderBy(F.xxhash64("id"), "id", "terms", "quality").limit(most).collect()
+    return learn(np.stack([unpack(bytes(r.terms)) for r in rows]) if rows else np.zeros((0, TERMS)), [int(r.quality == 1) for r in rows])
 
 
 def score(text: Column, space: Space, spark) -> Column:
@@ -160,5 +201,5 @@ def classify(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3, most: int
 
 def keep_good(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3, most: int = 4000) -> DataFrame:
     """The rows of ``docs``, all columns, whose score reaches the cutoff."""
-    space = fit(docs, labels, most)
-    return docs.filter(score(docs["text"], space, docs.sparkSession) >= cutoff).select(*[docs[c] for c in docs.columns])
+    rows = packed(docs, score=score(F.col("text"), fit(docs, labels, most), docs.sparkSession))
+    return unpacked(rows.filter(F.col("score") >= cutoff), docs.columns)
