@@ -1,21 +1,25 @@
 """Approximate nearest neighbours by learned partitions.
 
-A bounded sample of the vectors (``sample`` rows, smallest hash of the id) gives an exact
+A bounded sample of the vectors (smallest hash of the row, 4,096 to 16,384 of them) gives an exact
 neighbour graph, which is cut into balanced parts: recursive bisection at the median of the
 graph's second eigenvector, then moves that put a vector with most of its neighbours while sizes
-stay within a tolerance. A small network learns, from a vector, the parts that hold its
-neighbours. Every row is indexed in its most probable part; a query is routed to its ``probes``
-most probable parts, whose vectors are all reranked by exact inner products in double precision.
-``probes`` is the least number that finds ``recall`` of the true neighbours of the sample's
-validation queries by brute force over the sample.
+stay within a tolerance. A small network learns, from a vector, the probabilities that its
+neighbours lie in each part. Every row is indexed in its most probable part. A query visits parts
+from the most probable on until their probabilities sum to ``enough``; the vectors there are all
+reranked by exact inner products in double precision. ``enough`` is the least sum that finds
+``recall`` of the true neighbours of the sample's validation queries by brute force over the sample:
+where the network is sure, few parts are visited, where it is not, many. A query goes on to further
+parts until they hold ``top`` other ids for certain.
 
 Defined results: vectors that are null, zero, of another dimension than most of the sample, or
-hold null or non-finite components take no part; rows that repeat a query's id are the query
-itself; ties go to the smaller id; with too few candidates all are given.
+hold null or non-finite components take no part; an id that repeats is one candidate, at its best
+score, and one query, with the least of its vectors; ties go to the smaller id; with too few
+candidates all are given.
 
-Scale: a part is stored in chunks of bounded size, and so are the queries that visit it, so a part
-that holds a third of all rows (equal vectors) is many tasks. Only counts for each part reach the
-driver. Each task returns ``top`` rows for a query; the last ranking is pruned before its shuffle.
+Scale: the number of parts grows with the rows, one for ``part_rows`` rows, from 32 to 512. A part is
+stored in chunks of bounded size, and so are the queries that visit it, so a part that holds a third
+of all rows (equal vectors) is many tasks. Only the sample and counts for each part reach the driver.
+Each task returns ``top`` rows for a query; the last ranking is pruned before its shuffle.
 """
 
 from __future__ import annotations
@@ -32,16 +36,31 @@ from weft.llm._shared import cut, ship
 
 
 @dataclass
-class Router:
+class PartClassifier:
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
-    probes: int
+    enough: float  # probability that the visited parts must sum to
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        z = self.scores(x)
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    def visits(self, x: np.ndarray, sizes: np.ndarray, need: int) -> list[np.ndarray]:
+        """For each row the parts to visit, the most probable first: until they have enough
+        probability, and ``need`` rows."""
+        p = self.probabilities(x)
+        order = np.argsort(-p, axis=1, kind="stable")
+        before = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) - np.take_along_axis(p, order, axis=1)
+        rows = np.cumsum(sizes[order], axis=1) - sizes[order]
+        n = ((before < self.enough) | (rows < need)).sum(axis=1)
+        return [o[:k].astype(np.int32) for o, k in zip(order, n)]
+
 
 def neighbours(base: np.ndarray, queries: np.ndarray, k: int, own: np.ndarray | None = None, block: int = 512) -> np.ndarray:
     """Rows of base with the largest inner products, exactly; own: the base row of each query."""
@@ -106,7 +125,7 @@ def balanced_parts(graph: np.ndarray, parts: int, seed: int, tolerance: float =
     return part
 
 
-def train(x: np.ndarray, targets: np.ndarray, hidden: int = 96, steps: int = 600, batch: int = 256, rate: float = 5e-3, seed: int = 3) -> Router:
+def train(x: np.ndarray, targets: np.ndarray, hidden: int = 96, steps: int = 600, batch: int = 256, rate: float = 5e-3, seed: int = 3) -> PartClassifier:
     rng = np.random.default_rng(seed)
     d, k = x.shape[1], targets.shape[1]
     scale = 1 / max(float(np.sqrt((x * x).mean())), 1e-30)
@@ -125,34 +144,32 @@ def train(x: np.ndarray, targets: np.ndarray, hidden: int = 96, steps: int = 600
             m[i] = 0.9 * m[i] + 0.1 * gr
             v[i] = 0.99 * v[i] + 0.01 * gr * gr
             p[i] -= rates[i] * (1 - step / (steps + 1)) * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-12)
-    return Router(*p, probes=k)
+    return PartClassifier(*p, enough=1.0)
 
 
-def fit(x: np.ndarray, parts: int, k: int, recall: float, seed: int = 11) -> Router:
+def fit(x: np.ndarray, parts: int, k: int, recall: float, seed: int = 11) -> PartClassifier:
     n, d = x.shape
     parts = max(1, min(parts, n // 16))
     if parts == 1:
-        return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
+        return PartClassifier(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1.0)
     near = neighbours(x, x, min(16, n - 1), np.arange(n))
     part = balanced_parts(near, parts, seed)
     targets = np.zeros((n, parts))
     np.add.at(targets, (np.repeat(np.arange(n), near.shape[1]), part[near].ravel()), 1 / near.shape[1])
     asks = np.random.default_rng(seed).permutation(n)[: max(1, n // 5)]
     learns = np.setdiff1d(np.arange(n), asks)
-    router = train(x[learns], targets[learns])
+    model = train(x[learns], targets[learns])
     # calibration: rows sit where the network puts them, as in the index
-    home = router.scores(x).argmax(axis=1)
+    home = model.scores(x).argmax(axis=1)
     k = min(k, n - 1)
     truth = home[neighbours(x, x[asks], k, asks)]
-    rank = np.empty((len(asks), parts), np.int64)
-    order = np.argsort(-router.scores(x[asks]), axis=1, kind="stable")
-    np.put_along_axis(rank, order, np.arange(parts)[None], axis=1)
-    found = np.take_along_axis(rank, truth, axis=1)
-    for probes in range(1, parts + 1):
-        if (found < probes).mean() >= recall:
-            break
-    router.probes = probes
-    return router
+    p = model.probabilities(x[asks])
+    order = np.argsort(-p, axis=1, kind="stable")
+    before = np.empty_like(p)  # probability of the parts visited before this one
+    np.put_along_axis(before, order, np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) - np.take_along_axis(p, order, axis=1), axis=1)
+    reached = np.sort(np.take_along_axis(before, truth, axis=1).ravel())
+    model.enough = float(np.nextafter(reached[min(len(reached) - 1, int(np.ceil(recall * len(reached))) - 1)], 2.0))
+    return model
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -163,57 +180,85 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def best(queries: np.ndarray, qids: np.ndarray, base: np.ndarray, ids: np.ndarray, top: int, block: int = 256) -> list[tuple[int, int, float]]:
-    """(query, id, score) of the top rows of this base. The final scores are sums in one fixed
+    """(query, id, score) of the top ids of this base. The final scores are sums in one fixed
     order, so that equal vectors get equal scores; the fast product only preselects, with slack."""
     out = []
     sizes = np.linalg.norm(base, axis=1).max(initial=0.0)
+    copies = len(ids) - len(np.unique(ids))  # rows that may stand for an id that is there already
     for a in range(0, len(queries), block):
         q = queries[a : a + block]
         s = q @ base.T
         s[qids[a : a + block][:, None] == ids[None]] = -np.inf
-        k = min(top, len(ids))
+        k = min(top + copies, len(ids))
         edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
         slack = 1e-12 * sizes * np.linalg.norm(q, axis=1)
         for i in range(len(q)):
             at = np.flatnonzero(s[i] >= edge[i] - slack[i]) if edge[i] > -np.inf else np.flatnonzero(s[i] > -np.inf)
             exact = (q[i] * base[at]).sum(axis=1)
-            for j in np.lexsort((ids[at], -exact))[:top]:
+            order = np.lexsort((ids[at], -exact))
+            if copies:
+                order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])]
+            for j in order[:top]:
                 out.append((int(qids[a + i]), int(ids[at[j]]), float(exact[j])))
     return out
 
 
-def search(vectors: DataFrame, every: int = 20, top: int = 20, sample: int = 4096, parts: int = 32, recall: float = 0.94, chunk: int = 8192) -> DataFrame:
+def sampled(rows: DataFrame, most: int) -> np.ndarray:
+    """At most ``most`` different rows, those with the smallest hash, of the commonest dimension."""
+    keyed = rows.withColumn("_hash", F.xxhash64("_id", "_v"))
+    first = keyed.select(F.col("_hash").alias("_first")).distinct().orderBy("_first").limit(most)
+    picked = keyed.join(F.broadcast(first), F.col("_hash") == F.col("_first")).groupBy("_hash").agg(F.min("_v").alias("_v")).collect()
+    vectors = [r._v for r in sorted(picked, key=lambda r: r._hash)]
+    dims = [len(v) for v in vectors]
+    dim = max(sorted(set(dims)), key=dims.count) if dims else 0
+    return np.array([v for v in vectors if len(v) == dim], np.float64).reshape(-1, dim)
+
+
+def n_parts(rows: int, part_rows: int, least: int = 32, most: int = 512) -> int:
+    return max(least, min(most, -(-rows // part_rows)))
+
+
+def search(vectors: DataFrame, every: int = 20, top: int = 20, parts: int | None = None, recall: float = 0.94, part_rows: int = 1024, sample: int | None = None, chunk: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of each row whose id is divisible
-    by ``every``, among all rows but its own."""
+    by ``every``, among all rows but its own. Parts and sample grow with the rows unless given."""
     spark = vectors.sparkSession
     ship(spark)
     rows = usable(vectors)
-    picked = sorted((r._id, tuple(r._v)) for r in rows.orderBy(F.xxhash64("_id"), "_id").limit(sample).collect())
-    dims = [len(v) for _, v in picked]
-    dim = max(sorted(set(dims)), key=dims.count) if dims else 0
-    router = fit(np.array([v for _, v in picked if len(v) == dim]), parts, top, recall) if dims else None
+    parts = parts or n_parts(rows.count(), part_rows)
+    x = sampled(rows, sample or min(16_384, max(4096, 32 * parts)))
     schema = "query_id long, vec_id long, score double"
-    if router is None:
+    if not len(x):
         return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
-    n_parts = len(router.b2)
-    shared = spark.sparkContext.broadcast(router)
+    dim, model = x.shape[1], fit(x, parts, top, recall)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("int")
+    def home(v: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.scores(np.stack(v)).argmax(axis=1).astype(np.int32)) if len(v) else pd.Series([], dtype=np.int32)
+
+    placed = cut(rows.filter(F.size("_v") == dim).withColumn("_part", home("_v")))
+    held = placed.groupBy("_part").agg(F.count("*").alias("n")).collect()  # one number for each part
+    sizes = np.zeros(len(model.b2), np.int64)
+    for h in held:
+        sizes[h._part] = h.n
+    # rows that only repeat an id do not count as candidates
+    extra = int(sizes.sum()) - placed.agg(F.countDistinct("_id")).first()[0]
+    need = top + 1 + extra
 
     @F.pandas_udf("array<int>")
-    def route(v: pd.Series) -> pd.Series:
-        r = shared.value
-        return pd.Series(list(np.argsort(-r.scores(np.stack(v)), axis=1, kind="stable")[:, : r.probes].astype(np.int32))) if len(v) else pd.Series([], dtype=object)
-
-    placed = cut(rows.filter(F.size("_v") == dim).withColumn("_parts", route("_v")))
-    asked = F.col("_id") % every == 0
-    home = F.col("_parts")[0]
-    sizes = {r.p: r.n for r in placed.groupBy(home.alias("p")).count().withColumnRenamed("count", "n").collect()}
-    asks = {r.p: r.n for r in placed.filter(asked).select(F.explode("_parts").alias("p")).groupBy("p").count().withColumnRenamed("count", "n").collect()}
-    pieces = F.array(*[F.lit(-(-sizes.get(p, 0) // chunk)) for p in range(n_parts)])  # chunks of vectors of each part
-    groups = F.array(*[F.lit(max(1, -(-asks.get(p, 0) // chunk))) for p in range(n_parts)])  # chunks of queries
-    base = placed.select("_id", "_v", home.alias("_part")).withColumn("_piece", F.pmod(F.xxhash64("_id"), F.get(pieces, F.col("_part"))).cast("int"))
-    base = base.withColumn("_group", F.explode(F.sequence(F.lit(0), F.get(groups, F.col("_part")) - 1)))
-    want = placed.filter(asked).select("_id", "_v", F.explode("_parts").alias("_part")).filter(F.get(pieces, F.col("_part")) > 0)
-    want = want.withColumn("_group", F.pmod(F.xxhash64("_id"), F.get(groups, F.col("_part"))).cast("int")).withColumn("_piece", F.explode(F.sequence(F.lit(0), F.get(pieces, F.col("_part")) - 1)))
+    def visits(v: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.visits(np.stack(v), sizes, need), dtype=object) if len(v) else pd.Series([], dtype=object)
+
+    asks = placed.filter(F.col("_id") % every == 0).groupBy("_id").agg(F.min("_v").alias("_v"))
+    routed = cut(asks.withColumn("_visits", visits("_v")))
+    want = routed.select("_id", "_v", F.explode("_visits").alias("_part"))
+    visitors = {h._part: h.n for h in want.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    # chunks of vectors and of queries of each part
+    plan = spark.createDataFrame([(int(p), max(1, -(-int(sizes[p]) // chunk)), max(1, -(-visitors.get(int(p), 0) // chunk))) for p in range(len(sizes)) if sizes[p]], "_p int, _pieces int, _groups int")
+    base = placed.join(F.broadcast(plan), F.col("_part") == F.col("_p")).withColumn("_piece", F.pmod(F.xxhash64("_id", "_v"), F.col("_pieces")).cast("int"))
+    base = base.withColumn("_group", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))).select("_id", "_v", "_part", "_piece", "_group")
+    want = want.join(F.broadcast(plan), F.col("_part") == F.col("_p")).withColumn("_group", F.pmod(F.xxhash64("_id"), F.col("_groups")).cast("int"))
+    want = want.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).select("_id", "_v", "_part", "_piece", "_group")
     key = ["_part", "_piece", "_group"]
 
     def rerank(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -223,5 +268,6 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, sample: int = 409
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     found = want.groupBy(*key).cogroup(base.groupBy(*key)).applyInPandas(rerank, schema)
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")) if extra else found
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
