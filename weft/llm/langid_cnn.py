@@ -8,9 +8,9 @@ prediction is the mean of the windows' probabilities weighted by their bytes.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0; a network that
 learned no language gives ``und`` too; any other text, of one byte or of millions, gets a learned
-language. Equal texts get equal results. The training rows are those with a language, outside the
-held-out fold, at most ``per_lang`` of each language (those with the smallest hash of the id);
-all rows are predicted.
+language. Equal texts get equal results, bit for bit, whatever the texts around them. The training
+rows are those with a language and a text, outside the held-out fold, at most ``per_lang`` of each language (those with the
+smallest hash of the id; rows that repeat count once) and ``per_text`` windows of each; all rows are predicted, whole.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.llm._shared import fold, ship
+from weft.llm._shared import cut, fold, ship
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -52,10 +52,18 @@ def windows(data: bytes, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return buf.reshape(rows, WINDOW), lengths
 
 
-def train(texts: list[str], langs: list[str], *, dim: int = 8, filters: int = 16, steps: int = 500, batch: int = 96, rate: float = 4e-3, seed: int = 17) -> Net:
+def excerpt(text: str, most: int) -> bytes:
+    """What training reads of a text: all of it or, beyond ``most`` windows, as many evenly spread ones."""
+    data = text.lower().encode()
+    rows = -(-len(data) // WINDOW)
+    if rows <= most:
+        return data
+    return b"".join(data[at * WINDOW : (at + 1) * WINDOW] for at in (np.arange(most) * rows // most).tolist())
+
+
+def train(data: list[bytes], langs: list[str], *, dim: int = 8, filters: int = 16, steps: int = 500, batch: int = 96, rate: float = 4e-3, seed: int = 17) -> Net:
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
-    data = [t.lower().encode() for t in texts]
     counts = np.bincount(np.frombuffer(b"".join(data), np.uint8), minlength=256)
     classes = np.ones(256, np.uint8)
     order = np.argsort(-counts, kind="stable")[: CLASSES - 2]
@@ -144,7 +152,8 @@ class Predictor:
                     z = part if z is None else np.add(z, part, out=z)
                 pooled.append(z.max(axis=1) + bias)
             h = np.maximum(np.concatenate(pooled, axis=1), 0)
-            logits = (h @ self.net.out_w + self.net.out_b).astype(np.float64)
+            # a sum in a fixed order: a matrix product may round a row by the rows around it
+            logits = (h[:, :, None].astype(np.float64) * self.net.out_w[None]).sum(axis=1) + self.net.out_b
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             out[a : a + self.rows] = p / p.sum(axis=1, keepdims=True)
         return out
@@ -178,20 +187,32 @@ class Predictor:
         return langs, scores
 
 
-def training_rows(docs: DataFrame, per_lang: int, parts: int = 4, held: int = 2) -> DataFrame:
-    """text, lang of at most ``per_lang`` rows of each language outside the held-out fold."""
-    keyed = docs.filter((fold(F.col("doc_id"), parts) != held) & F.col("lang").isNotNull()).select("doc_id", "lang")
-    keyed = keyed.withColumn("_hash", F.xxhash64("doc_id")).withColumn("_salt", F.pmod("_hash", F.lit(64)))
-    salted = Window.partitionBy("lang", "_salt").orderBy("_hash", "doc_id")  # first within parts of a language
-    keyed = keyed.withColumn("_rank", F.row_number().over(salted)).filter(F.col("_rank") <= per_lang)
-    first = Window.partitionBy("lang").orderBy("_hash", "doc_id")
-    chosen = keyed.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= per_lang).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+def training_rows(docs: DataFrame, per_lang: int, parts: int = 4, held: int = 2, per_text: int = 64) -> DataFrame:
+    """excerpt, lang of at most ``per_lang`` rows of each language outside the held-out fold, those
+    with the smallest hash of the id; at most ``per_text`` windows of each."""
+    ship(docs.sparkSession)
+    mine = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.col("lang").alias("lang"), F.col("text").alias("text"))
+    mine = mine.filter(fold(F.col("id"), parts) != held).withColumn("print", F.xxhash64("text"))
+    keyed = mine.select("id", "lang", "print", F.xxhash64("id").alias("hash"))
+    # first within small parts of a language, then within larger ones: no task ranks many rows of one language
+    for salts in (256, 16, 1):
+        w = Window.partitionBy("lang", F.pmod("hash", F.lit(salts))).orderBy("hash", "id", "print")
+        keyed = keyed.withColumn("rank", F.dense_rank().over(w)).filter(F.col("rank") <= per_lang).drop("rank").distinct()
+    chosen = cut(keyed.select(F.col("id").alias("of"), F.col("lang").alias("lang_of"), F.col("print").alias("print_of")))
+    few = chosen.count() <= 100_000  # per_lang rows a language; there may be more languages than a broadcast can take
+
+    @F.pandas_udf("binary")
+    def excerpts(texts: pd.Series) -> pd.Series:
+        return pd.Series([excerpt(t, per_text) for t in texts], dtype=object)
+
+    same = (F.col("id") == F.col("of")) & (F.col("lang") == F.col("lang_of")) & (F.col("print") == F.col("print_of"))
+    found = mine.join(F.broadcast(chosen) if few else chosen, same).select("id", "lang", "print", excerpts("text").alias("excerpt"))
+    return found.groupBy("id", "lang", "print").agg(F.min("excerpt").alias("excerpt")).select("excerpt", "lang")  # rows that repeat count once
 
 
 def fit(docs: DataFrame, per_lang: int = 400, parts: int = 4, held: int = 2) -> Net:
-    rows = sorted((r.text, r.lang) for r in training_rows(docs, per_lang, parts, held).collect())
-    rows = [(t, x) for t, x in rows if any(map(str.isalpha, t))]
+    rows = sorted((bytes(r.excerpt), r.lang) for r in training_rows(docs, per_lang, parts, held).collect())
+    rows = [(t, x) for t, x in rows if any(map(str.isalpha, t.decode("utf-8", "ignore")))]
     return train([t for t, _ in rows], [x for _, x in rows])
 
 
