@@ -26,14 +26,13 @@ def _step(links: DataFrame, large: bool) -> DataFrame:
     return moved.filter("u < v").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """v, root for every node with a link, except the roots themselves. links: a, b (longs)."""
     now = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     seen = None
-    for _ in range(rounds):
+    while True:  # a number of rounds of the order of log(nodes) squared at most
         now = cut(_step(_step(now, True), False))
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if mark == seen:
             return now.select("v", F.col("u").alias("root"))
         seen = mark
-    raise RuntimeError("components did not settle")

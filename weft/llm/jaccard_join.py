@@ -26,7 +26,7 @@ its rows would grow with the square of a group. Where components alone are wante
 
 Defined results: null, empty and white-space texts have no shingle, and link with nothing; a text
 with fewer than ``n`` words is one shingle; a null id never is a component's id unless all its ids
-are null; rows that repeat an id are one node only if their sets are equal.
+are null, and is linked like any other; rows that repeat an id are one node only if their sets are equal.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.llm._shared import cut, lower_words_of, shingle_hashes, ship, utf8
+from weft.llm._shared import WORD, cut, lower_words_of, packed, shingle_hashes, ship, unpacked, utf8
 from weft.llm.components import components
 
 SLOTS = 1 << 21
@@ -50,11 +50,14 @@ _ROW = 1 << 15  # cells in a row of the count table on its way through the shuff
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # classes and shingles in a block of a component, about
 
 
-_KINDS = {"n_shingles": pa.int64(), "cls": pa.int64(), "matches": pa.int32(), "typical": pa.float64(), "prefix": pa.list_(pa.int64())}
+_KINDS = {"n_shingles": pa.int64(), "cls": pa.int64(), "more": pa.int64(), "matches": pa.int32(), "typical": pa.float64(), "cold": pa.int32(), "prefix": pa.list_(pa.int64())}
+HOT = 1 << 14  # classes of a posting list that one task ranks
 
 
-def _class(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def _class(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers."""
+    h = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -62,7 +65,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def frequencies(docs: DataFrame, n: int) -> np.ndarray:
-    """Cell -> shingles of all documents that fall in it."""
+    """Cell -> shingles of all documents that fall in it (counts stop at 2**31 - 1)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(SLOTS, np.int32)
@@ -100,50 +103,76 @@ def choose(df: np.ndarray, n: int, least: int, most_matches: int, verify: float)
 
 
 def prefixes(docs: DataFrame, table: np.ndarray, n: int, percent: int, most_matches: int, verify: float) -> DataFrame:
-    """doc_id, n_shingles, cls (hash of the set, null without shingles), matches, typical, prefix."""
+    """doc_id, print (hash of the text), n_shingles, cls and more (128 bits of the set, null without
+    shingles), matches, typical, prefix and cold: from this place on the prefix has shingles that more
+    than ``HOT`` documents may hold."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = shared.value
         for whole in batches:
             for batch in (whole.slice(at, 1024) for at in range(0, whole.num_rows, 1024)):
-                out = {k: [] for k in ("n_shingles", "cls", "matches", "typical", "prefix")}
-                for text in utf8(batch.column(1)):
+                out = {k: [] for k in _KINDS}
+                for text in utf8(batch.column(2)):
                     s = shingle_hashes(lower_words_of(text), n)
                     size = len(s)
-                    matches, prefix, typical, cls = 0, None, 0.0, None
+                    matches, prefix, typical, cold, cls, more = 0, None, 0.0, 0, None, None
                     if size:
                         df = cells[(s & np.uint64(SLOTS - 1)).astype(np.intp)]
                         order = np.argsort(df, kind="stable")  # equal frequencies stay ordered by hash
                         least = -(-percent * size // 100)
                         matches = choose(df[order], size, least, most_matches, verify)
-                        prefix = _signed(s[order[: size - least + matches]])
+                        at = order[: size - least + matches]
+                        prefix, cold = _signed(s[at]), int(np.searchsorted(df[at], HOT, "right"))
                         typical = float(np.log(df).mean())
-                        cls = _class(s)
-                    for k, x in (("n_shingles", size), ("cls", cls), ("matches", matches), ("typical", typical), ("prefix", prefix)):
+                        cls, more = _class(s)
+                    for k, x in (("n_shingles", size), ("cls", cls), ("more", more), ("matches", matches), ("typical", typical), ("cold", cold), ("prefix", prefix)):
                         out[k].append(x)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[k], t) for k, t in _KINDS.items()]], ["doc_id", *_KINDS])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(out[k], t) for k, t in _KINDS.items()]], ["doc_id", "print", *_KINDS])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {ids}, n_shingles long, cls long, matches int, typical double, prefix array<long>")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    mine = docs.select("doc_id", F.xxhash64("text").alias("print"), "text")
+    return mine.mapInArrow(work, f"doc_id {ids}, print long, n_shingles long, cls long, more long, matches int, typical double, cold int, prefix array<long>")
+
+
+def classes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``cls`` as one number for each different set, and the classes: cls, rep (a row
+    of it, that with the least id: no id, id, print), size and rows. Two sets whose first 64 bits agree
+    by chance, a handful among 1e10, get numbers of their own: that with the least second half keeps
+    its own, the others take a hash of all bits."""
+    by = rows.filter(F.col("cls").isNotNull()).groupBy("cls", "more")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("print").alias("print")))
+    found = cut(by.agg(least.alias("rep"), F.min("n_shingles").alias("size"), F.count("*").alias("rows")))
+    clash = found.groupBy(F.col("cls").alias("_c")).agg(F.min("more").alias("_least"), F.count("*").alias("_n")).filter("_n > 1").select("_c", "_least")
+    other = cut(found.join(clash, F.col("cls") == F.col("_c")).filter("more <> _least").select("_c", F.col("more").alias("_m"), F.xxhash64(F.lit(1), "_c", "more").alias("_new")))
+    if other.limit(1).count():
+        numbered = lambda df: df.join(other, (F.col("cls") == F.col("_c")) & (F.col("more") == F.col("_m")), "left").withColumn("cls", F.coalesce("_new", "cls")).drop("_c", "_m", "_new")
+        rows, found = cut(numbered(rows)), cut(numbered(found))
+    return rows, found.drop("more")
+
+
+def texts_of(docs: DataFrame, classes: DataFrame, repeats: bool, *columns: str) -> DataFrame:
+    """cls, text of the representative of each of ``classes``, and these columns of theirs. repeats:
+    whether rows may repeat a representative, id and text; one of them counts."""
+    mine = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_print"), F.col("text").alias("text"))
+    out = mine.join(classes, F.col("_id").eqNullSafe(F.col("rep.id")) & (F.col("_print") == F.col("rep.print"))).select("cls", "text", *columns)
+    return out.dropDuplicates(["cls"]) if repeats else out
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int, repeats: bool) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are similar."""
     needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = classes.join(needed, "cls", "left_semi").select("cls", F.col("rep").alias("_rep"))
-    texts = cut(docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_rep")).select("cls", "text"))
+    texts = cut(texts_of(docs, classes.join(needed, "cls", "left_semi"), repeats))
     left = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: OrderedDict[tuple[int, bytes], tuple[bool, np.ndarray]] = OrderedDict()
+        held: OrderedDict[tuple[int, bytes], np.ndarray] = OrderedDict()
 
-        def of(cls: int, text: bytes) -> tuple[bool, np.ndarray]:
+        def of(cls: int, text: bytes) -> np.ndarray:
             key = (cls, text)
             if key not in held:
-                s = shingle_hashes(lower_words_of(text), n)
-                held[key] = (_class(s) == cls, s)  # rows that repeat an id with another text are not this class
+                held[key] = shingle_hashes(lower_words_of(text), n)
                 if len(held) > 64:
                     held.popitem(last=False)
             return held[key]
@@ -151,9 +180,9 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, perc
         for batch in batches:
             good = []
             for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), utf8(batch.column(3))):
-                (ok_a, x), (ok_b, y) = of(a, ta), of(b, tb)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if ok_a and ok_b else -1
-                good.append(ok_a and ok_b and 100 * both >= percent * (len(x) + len(y) - both))
+                x, y = of(a, ta), of(b, tb)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long").distinct()
@@ -174,29 +203,26 @@ def linked(sets: list[np.ndarray], others: list[np.ndarray], percent: int) -> It
         yield 100 * both >= percent * (len(x) + sizes - both)
 
 
-def link_counts(docs: DataFrame, classes: DataFrame, roots: DataFrame, n: int, percent: int) -> DataFrame:
+def link_counts(docs: DataFrame, classes: DataFrame, roots: DataFrame, n: int, percent: int, repeats: bool) -> DataFrame:
     """_l (class), _links: rows of other classes that are similar. roots: v, root of the non-roots."""
     of = roots.select(F.col("v").alias("cls"), "root").unionByName(roots.select(F.col("root").alias("cls"), "root").distinct())
-    held = cut(classes.select("cls", "rep", "size", "rows").join(of, "cls"))
+    held = cut(classes.join(of, "cls"))
     wide = held.groupBy(F.col("root").alias("_r")).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
-    at = cut(held.join(wide, F.col("root") == F.col("_r")).select("cls", "rep", "rows", "root", "_blocks", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("_blocks")).cast("int").alias("_block")))
-    texts = docs.select("doc_id", "text").join(at, F.col("doc_id") == F.col("rep")).select("cls", "text", "rows", "root", "_blocks", "_block")
+    at = cut(held.join(wide, F.col("root") == F.col("_r")).drop("_r", "size").withColumn("_block", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("_blocks")).cast("int")))
+    texts = texts_of(docs, at, repeats, "rows", "root", "_blocks", "_block")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in (big.slice(i, 1024) for i in range(0, big.num_rows, 1024)):
                 sets = [shingle_hashes(lower_words_of(t), n) for t in utf8(batch.column(1))]
-                # rows that repeat an id with another text are not this class
-                good = pa.array([_class(x) == c for x, c in zip(sets, batch.column(0).to_pylist())], pa.bool_())
                 cells = pa.array([_signed(x).tobytes() for x in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), cells, *batch.columns[2:]], ["cls", "shingles", "rows", "root", "_blocks", "_block"]).filter(good)
+                yield pa.RecordBatch.from_arrays([batch.column(0), cells, *batch.columns[2:]], ["cls", "shingles", "rows", "root", "_blocks", "_block"])
 
     sets = texts.mapInArrow(whole, "cls long, shingles binary, rows long, root long, _blocks int, _block int")
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
     cells = sets.select("cls", "shingles", "rows", "root", "_block", other).select("cls", "shingles", "rows", "root", "_block", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
 
     def count(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.drop_duplicates("cls")
         low, high = (g[g["_block"] == k] for k in (g["_i"].iloc[0], g["_j"].iloc[0]))
         if low.empty or high.empty:
             return pd.DataFrame({"_l": [], "_links": []}, dtype="int64")
@@ -216,20 +242,28 @@ def link_counts(docs: DataFrame, classes: DataFrame, roots: DataFrame, n: int, p
     return cut(found.groupBy("_l").agg(F.sum("_links").alias("_links")))
 
 
-def join(docs: DataFrame, n: int = 3, percent: int = 90, most_matches: int = 4, verify: float = 8.0, count_links: bool = True) -> DataFrame:
-    """doc_id, n_shingles, cls, component_id of every row, and n_links: the other rows whose sets are similar."""
+def components_of(docs: DataFrame, n: int, percent: int, most_matches: int, verify: float) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """The rows (doc_id, print, n_shingles, cls), the classes, the root of each class that is not one
+    itself (v, root), and whether rows repeat a representative."""
     ship(docs.sparkSession)
-    rows = cut(prefixes(docs, frequencies(docs, n), n, percent, most_matches, verify))
-    classes = cut(rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.count("*").alias("rows")))
-    one = rows.filter(F.col("cls").isNotNull()).join(classes.select(F.col("cls").alias("_c"), "rep"), (F.col("cls") == F.col("_c")) & (F.col("doc_id") == F.col("rep")), "left_semi")
-    one = cut(one.select("cls", F.col("n_shingles").alias("size"), "matches", "typical", "prefix"))
+    table = frequencies(docs, n)
+    pieces = max(1, -(-int(table.max()) // HOT))
+    rows, classes = classes_of(cut(prefixes(docs, table, n, percent, most_matches, verify)))
+    heads = rows.filter(F.col("cls").isNotNull()).join(classes.select(F.col("cls").alias("_c"), "rep"), (F.col("cls") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("rep.id")) & (F.col("print") == F.col("rep.print")), "left_semi")
+    one = cut(heads.select("cls", F.col("n_shingles").alias("size"), "matches", "typical", "cold", "prefix"))
+    repeats = one.count() != classes.count()
+    if repeats:
+        one = cut(one.dropDuplicates(["cls"]))
     # a shingle can be the first that a pair shares only if enough are left behind it: for partners of at most ``most``
-    post = one.select("cls", "size", "typical", F.posexplode("prefix").alias("_at", "token"))
-    post = post.select("token", "cls", "size", "typical", F.expr(f"(size - _at) * {100 + percent} div {percent} - size").alias("most")).filter(100 * F.col("most") >= percent * F.col("size"))
-    w = Window.partitionBy("token").orderBy(F.desc("typical"), "cls")
+    post = one.select("cls", "size", "typical", "cold", F.posexplode("prefix").alias("_at", "token"))
+    # a long posting list is ranked in pieces, others for each of its tokens; links across pieces are found below
+    hot = F.col("_at") >= F.col("cold")
+    piece = F.when(hot, F.pmod(F.xxhash64("cls", "token"), F.lit(pieces))).otherwise(0).cast("int").alias("_piece")
+    post = post.select("token", piece, hot.alias("_hot"), "cls", "size", "typical", F.expr(f"(size - _at) * {100 + percent} div {percent} - size").alias("most")).filter(100 * F.col("most") >= percent * F.col("size"))
+    w = Window.partitionBy("token", "_piece").orderBy(F.desc("typical"), "cls")
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     me = F.struct("cls", "size", "most")
-    shared = cut(post.withColumn("_n", F.count("*").over(every)).withColumn("_first", F.first(me).over(every)).withColumn("_prev", F.lag(me).over(w)).filter("_n > 1").drop("_n", "typical"))
+    shared = cut(post.withColumn("_n", F.count("*").over(every)).withColumn("_first", F.first(me).over(every)).withColumn("_prev", F.lag(me).over(w)).filter("_n > 1 OR _hot").drop("_n", "_hot", "_piece", "typical"))
 
     def near(other: str):
         return (F.col(f"{other}.cls") != F.col("cls")) & (F.col(f"{other}.size") <= F.col("most")) & (F.col("size") <= F.col(f"{other}.most")) & (100 * F.least("size", f"{other}.size") >= percent * F.greatest("size", f"{other}.size"))
@@ -242,7 +276,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, most_matches: int = 4,
         heads = one.select("cls", "matches", "prefix")
         at = found.join(heads.toDF("a", "_ma", "_pa"), "a").join(heads.toDF("b", "_mb", "_pb"), "b")
         enough = cut(at.filter(F.size(F.array_intersect("_pa", "_pb")) >= F.least("_ma", "_mb")).select("a", "b"))
-        return cut(verified(enough, docs, classes, n, percent))
+        return cut(verified(enough, docs, classes, n, percent, repeats))
 
     links = links_among(cut(pairs(shared, "_first").unionByName(pairs(shared, "_prev")).distinct()))
     roots = components(links)
@@ -258,13 +292,17 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, most_matches: int = 4,
         & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
     )
     more = links_among(cut(x.join(y, fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()))
-    roots = components(links.unionByName(more))
+    return rows, classes, components(links.unionByName(more)), repeats
 
+
+def join(docs: DataFrame, n: int = 3, percent: int = 90, most_matches: int = 4, verify: float = 8.0, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, cls, component_id of every row, and n_links: the other rows whose sets are similar."""
+    rows, classes, roots, repeats = components_of(docs, n, percent, most_matches, verify)
     named = classes.join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = named.groupBy("root").agg(F.min("rep")["id"].alias("component_id"))
     of_class = named.select("cls", "root", "rows").join(least, "root").select(F.col("cls").alias("_c"), "component_id", "rows")
     if count_links:
-        counts = link_counts(docs, classes, roots, n, percent)
+        counts = link_counts(docs, classes, roots, n, percent, repeats)
         of_class = of_class.join(counts, F.col("_c") == F.col("_l"), "left").withColumn("n_links", F.col("rows") - 1 + F.coalesce("_links", F.lit(0))).drop("_l", "_links")
     of_class = cut(of_class.drop("rows"))
     out = rows.select("doc_id", "n_shingles", "cls").join(of_class, F.col("cls") == F.col("_c"), "left")
@@ -272,9 +310,15 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, most_matches: int = 4,
     return out.select("doc_id", "n_shingles", "cls", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *links_of)
 
 
-def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay when one document of each component does: that
-    with the component's id. Of rows that repeat this id one stays for each text."""
-    out = join(docs, n, percent, count_links=False)
-    stay = out.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("cls").isNull()).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, most_matches: int = 4, verify: float = 8.0) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when one row of each component does: that with the
+    least id (rows without an id last, ties to the smaller hash of the text). Rows without words are
+    linked with nothing and stay."""
+    _, classes, roots, repeats = components_of(docs, n, percent, most_matches, verify)
+    named = classes.join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    stay = cut(named.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.id").alias("_id"), F.col("rep.print").alias("_print")))
+    mine = packed(docs, id=F.col("doc_id"), print=F.xxhash64("text"), words=F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    found = mine.filter("words").join(stay, F.col("id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_print")))
+    if repeats:  # rows of equal id and text: one of them
+        found = found.groupBy("id", "print").agg(F.min_by("row", F.xxhash64(*[F.col("row")[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])).alias("row"))
+    return unpacked(found.select("row").unionByName(mine.filter("NOT words").select("row")), docs.columns)
