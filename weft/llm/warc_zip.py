@@ -12,7 +12,8 @@ a task that is run again overwrites nothing, and the table of archives names tho
 
 Defined results: a null html is an empty payload; a null url writes no target; of rows that repeat
 the smallest page id of a payload all are responses; a payload whose page ids are all null has
-responses only; an empty table writes no archive and reads as no rows.
+responses only; a url comes back as it was, blanks at its ends included; an empty table writes no
+archive and reads as no rows; an archive whose members are compressed or missing is an error.
 """
 
 from __future__ import annotations
@@ -64,8 +65,9 @@ def _open(path: str, mode: str) -> BinaryIO:
 # -- ZIP ------------------------------------------------------------------------------------------
 
 
-def members(f: BinaryIO) -> dict[str, tuple[int, int]]:
-    """name -> (first byte, length) of the stored members of a ZIP file, from its directories."""
+def members(f: BinaryIO) -> dict[str, tuple[int, int] | None]:
+    """name -> (first byte, length) of the members of a ZIP file, from its directories; None for one
+    that is compressed, which has no byte ranges."""
     f.seek(0, 2)
     size = f.tell()
     tail_at = max(0, size - 65_557)
@@ -111,7 +113,8 @@ def members(f: BinaryIO) -> dict[str, tuple[int, int]]:
             q += 4 + size_
         p += 46 + name_n + extra_n + comment_n
         if method:
-            continue  # a compressed member has no byte ranges
+            out[name] = None  # a compressed member has no byte ranges
+            continue
         f.seek(offset)
         head = f.read(30)
         if head[:4] != b"PK\x03\x04":
@@ -121,6 +124,12 @@ def members(f: BinaryIO) -> dict[str, tuple[int, int]]:
     return out
 
 
+def member(found: dict[str, tuple[int, int] | None], name: str) -> tuple[int, int]:
+    if found.get(name) is None:
+        raise ValueError(f"the archive has no member {name}" if name not in found else f"{name} is compressed: only stored members can be read by ranges")
+    return found[name]
+
+
 def read_range(f: BinaryIO, start: int, length: int) -> bytes:
     f.seek(start)
     data = f.read(length)
@@ -132,10 +141,29 @@ def read_range(f: BinaryIO, start: int, length: int) -> bytes:
 # -- WARC -----------------------------------------------------------------------------------------
 
 
+_ESCAPES = (("%", "%25"), ("\r", "%0D"), ("\n", "%0A"))  # undone in the opposite order
+
+
+def escaped(url: str) -> str:
+    """A url as the value of a header line: no line ends, and blanks at its ends survive."""
+    for plain, code in _ESCAPES:
+        url = url.replace(plain, code)
+    inner = url.strip(" \t")
+    at = url.find(inner) if inner else len(url)
+    blank = lambda s: "".join("%20" if c == " " else "%09" for c in s)
+    return blank(url[:at]) + inner + blank(url[at + len(inner) :])
+
+
+def unescaped(value: str) -> str:
+    for plain, code in ((" ", "%20"), ("\t", "%09"), *reversed(_ESCAPES)):
+        value = value.replace(code, plain)
+    return value
+
+
 def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
     head = [b"WARC/1.1", b"WARC-Type: " + kind.encode(), b"WARC-Date: " + _DATE.encode(), f"WARC-Record-ID: <urn:weft:page:{'' if page_id is None else page_id}>".encode()]
     if url is not None:
-        head.append(b"WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A").encode())
+        head.append(b"WARC-Target-URI: " + escaped(url).encode())
     head += [f"WARC-Payload-Digest: sha1:{digest}".encode(), f"X-Payload-Length: {size}".encode(), b"Content-Type: application/http; msgtype=response"]
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     if kind == "revisit":
@@ -152,7 +180,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    fields = {k.strip().lower(): v.strip(" \t") for k, _, v in (x.partition(":") for x in lines[1:])}
     return fields, rest[: int(fields["content-length"])]
 
 
@@ -168,9 +196,10 @@ def marked(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, _payload, _sha1 and _first, the page whose response has this payload."""
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("_payload")).withColumn("_sha1", F.sha1("_payload"))
     counted = p.filter(F.octet_length("_payload") >= least_bytes)
-    # written, so that the join below shuffles both sides anew and can split a payload many pages share
-    first = cut(counted.groupBy(F.col("_sha1").alias("_digest")).agg(F.min("page_id").alias("_first")))
-    return p.join(first, F.col("_sha1") == F.col("_digest"), "left").drop("_digest")
+    # only a payload that occurs twice can be referred to: where these are few, no payload is shuffled
+    first = cut(counted.groupBy(F.col("_sha1").alias("_digest")).agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"))
+    few = first.count() * 80 < 24e6
+    return p.join(F.broadcast(first) if few else first, F.col("_sha1") == F.col("_digest"), "left").drop("_digest")
 
 
 def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, most_bytes: int = 256 << 20) -> DataFrame:
@@ -210,9 +239,11 @@ def records(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and payload of each record of one archive, by its index."""
     with _open(path, "rb") as f:
         at = members(f)
-        for line in read_range(f, *at[INDEX]).decode().splitlines():
+        for line in read_range(f, *member(at, INDEX)).decode().split("\n"):
+            if not line.strip():
+                continue
             entry = json.loads(line)
-            start, length = at[entry["filename"]]
+            start, length = member(at, entry["filename"])
             if entry["offset"] + entry["length"] > length:
                 raise ValueError("the index points outside the archive")
             fields, block = parse(gzip.decompress(read_range(f, start + entry["offset"], entry["length"])))
@@ -234,7 +265,7 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
                         raise ValueError(f"{path}: a payload does not match its digest")
                     size = len(payload) if kind == "response" else int(fields["x-payload-length"])
                     url = fields.get("warc-target-uri")
-                    url = url if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+                    url = url if url is None else unescaped(url)
                     rows.append((_page(fields["warc-record-id"]), url, payload if payloads and kind == "response" else None, size, digest, kind, _page(fields.get("warc-refers-to"))))
                     held += len(payload) if payloads else 0
                     if held > 16 << 20 or len(rows) >= 5000:
