@@ -5,7 +5,8 @@ ASCII white space trimmed from their ends. For each line, HyperLogLog sketches o
 (``source``) that show it are merged by aggregation. A line whose estimate lies clearly above
 ``min_sites`` is boilerplate, one clearly below is not, and one near the threshold (within
 three standard errors and one site) gets an exact distinct count. Of a boilerplate line one
-occurrence stays in the corpus, the first by (doc_id, position); all others are removed.
+occurrence stays in the corpus, the first by (doc_id, position); all others are removed. Shorter
+lines ("Share", "Les.") are left alone: as often prose as boilerplate.
 
 Defined results: a null text stays null and has no lines; a text whose lines all go becomes empty;
 the null source counts as one site; a null id comes after all others; equal rows (id and text) are
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._shared import WORD, WORD_GAP, cut
+from weft.llm._shared import WORD, WORD_GAP, cut, packed, unpacked
 
 LG_K = 12
 ERROR = 1.04 / 2 ** (LG_K / 2)
@@ -32,8 +33,9 @@ def _lines(text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    d = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("_text"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("_site"), F.posexplode(_lines(F.col("text"))).alias("_pos", "_raw"))
-    d = d.withColumn("_line", F.regexp_replace("_raw", f"^{WORD_GAP}|{WORD_GAP}$", ""))
+    """doc_id, _text, _site, _pos, _h1, _h2 of each line of ``min_words`` words or more."""
+    mine = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("_text"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("_site"), F.posexplode(_lines(F.col("text"))).alias("_pos", "_raw"))
+    d = mine.withColumn("_line", F.regexp_replace("_raw", f"^{WORD_GAP}|{WORD_GAP}$", ""))
     return d.filter(F.regexp_count("_line", F.lit(f"({WORD})")) >= min_words).select("doc_id", "_text", "_site", "_pos", F.xxhash64("_line").alias("_h1"), F.xxhash64(F.lit(1), "_line").alias("_h2"))
 
 
@@ -50,29 +52,35 @@ def boilerplate(found: DataFrame, min_sites: int) -> DataFrame:
 
 
 def clean(docs: DataFrame, min_sites: int = 5, min_words: int = 3) -> DataFrame:
-    """The columns of ``docs`` with the cleaned text, then _n_lines and _n_removed."""
+    """Each row of ``docs`` as the struct ``row``, with its cleaned text, n_lines and n_removed."""
     found = cut(occurrences(docs, min_words))
     bad = boilerplate(found, min_sites)
     hit = found.join(bad, (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b")))
     stays = F.col("doc_id").eqNullSafe(F.col("_first.id")) & (F.col("_pos") == F.col("_first.pos"))
     drop = hit.filter(~stays).groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(F.collect_set("_pos").alias("_drop"))
-    joined = docs.withColumn("_text", F.xxhash64("text")).join(drop, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left").withColumn("_all", _lines(F.col("text")))
-    kept = F.array_join(F.filter("_all", lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept).alias("text")
-    return joined.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size("_all"), F.lit(0)).cast("long").alias("_n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("_n_removed"))
+    mine = packed(docs, id=F.col("doc_id"), print=F.xxhash64("text"))
+    joined = mine.join(drop, F.col("id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_hash")), "left").withColumn("_all", _lines(F.col("row.text")))
+    # positions that stay by one pass over a hash set, so that work grows with the lines, not with their square
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_drop"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("_all"), i)), "\n")
+    text = F.when(F.col("_drop").isNull(), F.col("row.text")).otherwise(kept)
+    return joined.select("row", text.alias("text"), F.coalesce(F.size("_all"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def clean_columns(docs: DataFrame, min_sites: int = 5, min_words: int = 3) -> DataFrame:
     """The columns of ``docs`` with the cleaned text; ``n_chars``, if there is one, follows it."""
     out = clean(docs, min_sites, min_words)
-    length = F.when(F.col("_n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return out.select(*[length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("row.n_chars"))
+    return unpacked(out, docs.columns, **changed)
 
 
 def digests(docs: DataFrame, min_sites: int = 5, min_words: int = 3) -> DataFrame:
     """doc_id, n_lines, n_removed, n_chars and text_sha256 of the cleaned text."""
     out = clean(docs.select("doc_id", "text", "source"), min_sites, min_words)
-    return out.select("doc_id", F.greatest("_n_lines", F.lit(0)).alias("n_lines"), F.greatest("_n_removed", F.lit(0)).alias("n_removed"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    return out.select("row.doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.greatest("n_removed", F.lit(0)).alias("n_removed"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 ORACLE = r"""
