@@ -53,6 +53,31 @@ def empty(spark, schema=DOCS):
     return spark.createDataFrame([], schema)
 
 
+CLASHES = [
+    "_id", "_hash", "_text", "_all", "_drop", "_n_lines", "_draws", "_draw", "_part", "_source", "_size", "_key", "_row", "_print", "_copies", "_host", "_lines", "_template", "_payload", "_sha1", "_first",
+    "id", "of", "size", "row", "draws", "draw", "part", "print", "words", "score", "scores", "cls", "rep", "token", "n_lines", "n_removed", "hash", "quality", "excerpt", "terms", "a.b", "a b", "_c", "_n", "cell", "lang_of", "component_id", "path",
+]
+
+
+def test_clashing_columns_come_back_unchanged(spark, documents, labels):
+    """Columns with names that the operators use themselves, and a dotted one."""
+    base = documents.limit(60).cache()
+    extra = base.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    more = labels.select("*", *[F.lit("x").alias(c) for c in CLASHES if c != "quality"])
+    for keep in (lambda d: quality_knn.keep_good(d, more), line_spread.clean_columns, jaccard_join.keep_one, mixing.mixture):
+        got = keep(extra)
+        rows = got.collect()
+        assert got.columns == extra.columns and rows
+        assert all(r[len(base.columns) + k] == f"{c}:{r.doc_id}" for r in rows for k, c in enumerate(CLASHES))
+        assert sorted(tuple(r)[: len(base.columns)] for r in rows) == sorted(tuple(r) for r in keep(base).collect())
+    for of in (mixing.mix, lambda d: quality_knn.classify(d, more), langid_cnn.identify, jaccard_join.join, lambda d: quality_rules.judge(d, more), line_spread.digests, lambda d: bpe.digests(d, BPE, P.PATTERN)):
+        assert sorted(map(str, of(extra).drop("_row").collect())) == sorted(map(str, of(base).drop("_row").collect()))
+    web = spark.read.parquet(f"{SF}/pages.parquet")
+    wide = web.select("*", *[F.lit(c).alias(c) for c in CLASHES])
+    for of in (wrappers.extract, warc_zip.round_trip):
+        assert sorted(map(str, of(wide).collect())) == sorted(map(str, of(web).collect()))
+
+
 # 1
 
 
@@ -67,8 +92,11 @@ def test_mix_equals_sql(spark):
 def test_mix_tree_and_draws(spark, documents):
     rng = np.random.default_rng(0)
     quotas = rng.integers(0, 500, 9)
-    parts = mixing.split(quotas, 13, 4)
+    parts = np.stack([x for _, x in mixing.split(quotas, 13, (4,))])
     assert (parts.sum(axis=0) == quotas).all() and (parts >= 0).all() and parts.sum(axis=1).max() - parts.sum(axis=1).min() <= 4
+    wanted = parts.sum(axis=1)
+    again = np.stack([x for _, x in mixing.split(quotas[::-1], 13, (5,), wanted)])
+    assert (again.sum(axis=0) == quotas[::-1]).all() and (again.sum(axis=1) == wanted).all()
     recipe = mixing.Recipe(shards=5, block_docs=8)
     rows = mixing.mix(documents, recipe).collect()
     assert all(sum(d.words for d in r.draws) == r.taken <= 2 * r["size"] for r in rows)
@@ -79,9 +107,48 @@ def test_mix_tree_and_draws(spark, documents):
     assert mixed.columns == documents.columns and collections.Counter(r.doc_id for r in mixed.collect()).most_common(1)[0][1] <= 2
 
 
-def test_mix_targets():
-    assert mixing.targets([100, 100, 100], [5, 2, 1], 1.5, 2) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
-    assert mixing.targets([], [], 1.5, 2) == [] and mixing.targets([0, 0], [5, 2], 1.5, 2) == [0.0, 0.0]
+def test_mix_is_what_the_tree_gives(spark, documents, monkeypatch):
+    """Draws that the tree loses are missing from the result."""
+    whole = sum(r.taken for r in mixing.mix(documents).collect())
+    plain = mixing.split
+    monkeypatch.setattr(mixing, "drawn_blocks", lambda quotas, shards, seed, of=mixing.drawn_blocks: of(quotas, shards, seed).filter("_block % 2 = 0"))
+    assert plain is mixing.split and 0 < sum(r.taken for r in mixing.mix(documents, mixing.Recipe(block_docs=8)).collect()) < whole
+
+
+def test_mix_hypergeometric_of_large_numbers():
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((300, 700, 200), (3, 9, 7), (50, 20, 60), (0, 5, 3), (5, 0, 3)):
+        got = np.array([mixing._by_ratios(rng, good, bad, n) for _ in range(4000)])
+        want = rng.hypergeometric(good, bad, n, 4000)
+        assert got.min() >= max(0, n - bad) and got.max() <= min(good, n) and abs(got.mean() - want.mean()) < 0.5 and abs(got.std() - want.std()) < 0.5
+    x = mixing.hypergeometric(rng, 10**10, 3 * 10**10, 10**9)
+    assert abs(x - 25 * 10**7) < 10**6
+
+
+def test_mix_of_many_sources(spark):
+    """No limit on sources: the driver's part of the tree stays 256 groups x shards."""
+    n = 200_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"))
+    out = mixing.mix(df, mixing.Recipe(shards=16)).agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.max(F.col("taken") - 2 * F.col("size")).alias("over"), F.max(F.abs(F.col("taken") - F.col("target"))).alias("off")).first()
+    assert out.n == n and out.over <= 0 and out.off <= 0.5 and abs(out.taken - 1.5 * out["size"]) < 0.05 * out["size"]  # each source is rounded
+
+
+def test_mixture_of_rows_that_repeat(spark):
+    rows = [(1, f"text {i % 3} of one id", "en", "a", i % 3) for i in range(30)] + [(i, f"text {i} here now", "en", "b", i) for i in range(100, 160)]
+    df = spark.createDataFrame(rows, DOCS)
+    recipe = mixing.Recipe(split_last=False, block_docs=8)
+    first, second = ([tuple(r) for r in mixing.mixture(df.repartition(k), recipe).collect()] for k in (1, 5))
+    assert sorted(first) == sorted(second) and set(first) <= set(rows)
+    assert len(first) == sum(len(r.draws) for r in mixing.mix(df, recipe).collect())
+
+
+def test_mix_targets(spark):
+    def targets(sizes, weights):
+        df = spark.createDataFrame([(f"s{i:03}", n, 1) for i, n in enumerate(sizes)], "source string, words long, n long")
+        return [r.target for r in mixing.goals(df, mixing.Recipe(weights=weights)).orderBy("_rank").collect()]
+
+    assert targets([100, 100, 100], (5, 2, 1)) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
+    assert targets([], (5, 2, 1)) == [] and targets([0, 0], (5, 2)) == [0.0, 0.0]
 
 
 def test_mix_odd(spark, odd):
@@ -184,7 +251,7 @@ def test_quality(spark):
 
 def test_quality_vote_is_exact(documents):
     texts = [r.text for r in documents.limit(60).collect()]
-    space = quality_knn.learn(texts[:40], [i % 2 for i in range(40)], dim=8)
+    space = quality_knn.learn([quality_knn.features(t) for t in texts[:40]], [i % 2 for i in range(40)], dim=8)
     got = quality_knn.vote(space, texts, k=5, block=7)
     for t, s in zip(texts, got):
         v = (quality_knn.features(t) * space.idf) @ space.axes
@@ -194,6 +261,34 @@ def test_quality_vote_is_exact(documents):
         assert s == pytest.approx((w * space.labels[near]).sum() / w.sum(), abs=1e-3)
 
 
+def test_scores_do_not_depend_on_the_batch(documents):
+    """One text among others, alone, and in blocks of any size: the same score bit for bit."""
+    texts = [r.text for r in documents.collect()]
+    space = quality_knn.learn([quality_knn.features(t) for t in texts[:120]], [i % 2 for i in range(120)])
+    whole = quality_knn.vote(space, texts)
+    for size in (1, 3, 50):
+        assert all((quality_knn.vote(space, texts[a : a + size], block=7) == whole[a : a + size]).all() for a in range(0, len(texts), size))
+    net = langid_cnn.train([r.text.lower().encode() for r in documents.limit(80).collect()], [r.lang for r in documents.limit(80).collect()], steps=5)
+    p = langid_cnn.Predictor(net)
+    whole = p(texts)
+    for size in (1, 3, 50):
+        for a in range(0, len(texts), size):
+            langs, scores = p(texts[a : a + size])
+            assert langs == whole[0][a : a + size] and scores == whole[1][a : a + size]
+
+
+def test_fits_are_bounded_where_ids_repeat(spark):
+    rows = [(i % 3, f"text number {i} of {'many ' * (i % 5)}words", "en" if i % 2 else "de", "a", 0) for i in range(600)]
+    df = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)] * 4, "doc_id long, quality int")
+    assert len(quality_knn.fit(df, labels, most=50, held=4).vectors) <= 50
+    found = langid_cnn.training_rows(df, 20, held=9).collect()
+    assert collections.Counter(r.lang for r in found) == {"en": 20, "de": 20}
+    long = langid_cnn.excerpt("ab" * 100_000, 8)
+    assert len(long) == 8 * langid_cnn.WINDOW and langid_cnn.excerpt("Ab", 8) == b"ab"
+    assert (quality_knn.unpack(quality_knn.pack(f := quality_knn.features("Some text, 12 words!"))) == f).all()
+
+
 def test_quality_odd(spark, odd, labels):
     rows = quality_knn.classify(odd, labels).collect()
     assert len(rows) == 9 and all(0 <= r.score <= 1 for r in rows) and {r.held_out for r in rows if r.doc_id is None} == {False}
@@ -240,6 +335,41 @@ def test_ann_ties_and_odd_vectors(spark):
     assert ann_partitions.search(empty(spark, "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_ann_repeated_ids_and_small_parts(spark):
+    """Every query gets 20 different ids, whatever repeats and however small the visited parts are."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)]
+    rows += [(20, rng.normal(size=6).tolist()) for _ in range(40)] + [(41, rng.normal(size=6).tolist()) for _ in range(40)] + [(60, rows[60][1])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann_partitions.search(df, parts=16, recall=0.05, chunk=64).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert set(got) == set(range(0, 300, 20))
+    for q, found in got.items():
+        ids = [i for _, i, _ in found]
+        assert [k for k, _, _ in found] == list(range(1, 21)) and len(set(ids)) == 20 and q not in ids
+        assert found == sorted(found, key=lambda x: (-x[2], x[1]))
+
+
+def test_ann_recall_beyond_the_sample(spark):
+    """Rows that the network has not seen: 2,000 vectors by a sample of 512, even and clustered."""
+    even = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16))
+    clustered = [(i, (centres[i % 40] + 0.2 * rng.normal(size=16)).tolist()) for i in range(4000)]
+    for rows in (even, clustered):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = collections.defaultdict(set)
+        for r in ann_partitions.search(df, sample=512).collect():
+            got[r.query_id].add(r.vec_id)
+        want = nearest(rows, 20, 20)
+        assert np.mean([len(got[q] & set(w)) / 20 for q, w in want.items()]) >= 0.9
+    x = np.array([v for _, v in clustered])
+    m = ann_partitions.fit(x[:1024], 32, 20, 0.94)
+    sizes = np.bincount(m.scores(x).argmax(axis=1), minlength=32)
+    assert np.mean([sizes[v].sum() for v in m.visits(x[::20], sizes, 21)]) < 0.35 * len(x)  # the classifier saves work where there is something to learn
+
+
 def test_ann_parts_are_balanced():
     x = np.random.default_rng(2).normal(size=(512, 8))
     part = ann_partitions.balanced_parts(ann_partitions.neighbours(x, x, 8, np.arange(512)), 8, 0)
@@ -285,7 +415,7 @@ def test_langid(spark):
 
 def test_langid_tables_equal_the_convolution(documents):
     rows = documents.limit(80).collect()
-    net = langid_cnn.train([r.text for r in rows], [r.lang for r in rows], steps=5)
+    net = langid_cnn.train([r.text.lower().encode() for r in rows], [r.lang for r in rows], steps=5)
     x = langid_cnn.windows(rows[0].text.lower().encode(), net.classes)[0]
     e = net.emb[x]
     pooled = []
@@ -297,6 +427,25 @@ def test_langid_tables_equal_the_convolution(documents):
     assert np.allclose(langid_cnn.Predictor(net).probabilities(x), p / p.sum(axis=1, keepdims=True), atol=1e-4)
 
 
+def test_langid_query_equals_a_plain_network(spark, documents):
+    """The registered query against windows, convolutions and means written out."""
+    net = langid_cnn.fit(documents)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.op6_langid_cnn(spark, SF).collect()}
+    for r in documents.collect():
+        data = r.text.lower().encode()
+        total, size = np.zeros(len(net.langs)), 0
+        for a in range(0, len(data), langid_cnn.WINDOW):
+            w = data[a : a + langid_cnn.WINDOW]
+            e = net.emb[np.pad(net.classes[np.frombuffer(w, np.uint8)], (0, langid_cnn.WINDOW - len(w)))]
+            pooled = [(np.concatenate([e[i : langid_cnn.WINDOW - s + 1 + i] for i in range(s)], axis=1) @ f + b).max(axis=0) for s, f, b in zip(langid_cnn.WIDTHS, net.filters, net.bias)]
+            z = np.maximum(np.concatenate(pooled), 0) @ net.out_w + net.out_b
+            total += len(w) * np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            size += len(w)
+        order = np.argsort(total)
+        if total[order[-1]] - total[order[-2]] > 1e-3 * size:
+            assert got[r.doc_id][0] == net.langs[order[-1]] and got[r.doc_id][1] == pytest.approx(total.max() / size, abs=1e-3)
+
+
 def test_langid_odd(spark, odd):
     by = {r.doc_id: r for r in langid_cnn.identify(odd).collect()}
     assert [by[i].lang_pred for i in (2, 3, 4)] == ["und"] * 3 and all(0 <= r.score <= 1 for r in by.values()) and by[6].lang_pred in ("en", "de", "fr")
@@ -348,6 +497,33 @@ def test_join_odd(spark, odd):
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "6", "7"]
 
 
+def test_join_without_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = " ".join([*words[:59], "other"])
+    rows = [(None, " ".join(words))] * 3 + [(None, near), (None, "all alone in this world of texts"), (5, "one two three four five six"), (5, "seven eight nine ten eleven twelve"), (7, "one two three four five six"), (8, " "), (8, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((str(r.doc_id), r.component_id, r.n_links) for r in jaccard_join.join(df, 3, 90).collect()), key=str)
+    assert got == sorted([("None", None, 3)] * 4 + [("None", None, 0), ("5", 5, 1), ("5", 5, 0), ("7", 5, 1), ("8", 8, 0), ("8", 8, 0)], key=str)
+    kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one(df, 3, 90).collect()]
+    assert len(kept) == 6 and sum(t in (" ".join(words), near) for _, t in kept) == 1 and (7, rows[5][1]) not in kept and (5, rows[6][1]) in kept
+
+
+def test_join_of_long_posting_lists(spark, monkeypatch):
+    """Lists that are ranked in pieces lose no link, nor do sets whose first 64 bits agree."""
+    monkeypatch.setattr(jaccard_join, "HOT", 4)
+    plain = jaccard_join._class
+    monkeypatch.setattr(jaccard_join, "_class", lambda s: (plain(s)[0] % 3, plain(s)[1]))
+    rnd, rows = random.Random(5), []
+    for g in range(4):
+        base = [f"g{g}w{k}" for k in range(40)]
+        for i in range(25):
+            base = list(base)
+            base[rnd.randrange(40)] = f"e{rnd.randrange(5)}"
+            rows.append((100 * g + i, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(df, 3, 80, count_links=False).collect()} == linked(rows, 3, 80)
+
+
 def test_join_counts_all_links(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)  # several blocks a component
     rnd = random.Random(1)
@@ -378,6 +554,33 @@ def test_components_of_a_path(spark):
 # 8
 
 
+def test_warc_whole_table(spark):
+    """Every page by plain Python: payload, digest, and which page is the response."""
+    pages = [(r.page_id, (r.html or "").encode()) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    pages += [(10_000 + k, p) for k, (_, p) in enumerate(pages[:20])]
+    df = spark.createDataFrame([(i, f"http://h/{i}", p.decode()) for i, p in pages], "page_id long, url string, html string")
+    first = {}
+    for i, p in sorted(pages):
+        first.setdefault(p, i)
+    for got in (warc_zip.round_trip(df), queries.op8_warc_zip(spark, SF)):
+        got = {r.page_id: tuple(r)[1:] for r in got.collect()}
+        mine = [x for x in pages if x[0] in got]
+        assert len(got) == len(mine) and all(got[i] == (len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if first[p] == i else "revisit", None if first[p] == i else first[p]) for i, p in mine)
+
+
+def test_warc_headers_and_compressed_members(spark, tmp_path):
+    for url in (" http://a/ \t", "%20", "   ", "a\r\n b%0D", ""):
+        fields, block = warc_zip.parse(warc_zip.record("response", 1, url, b"x\r\n\r\ny", "D", 7, None))
+        assert warc_zip.unescaped(fields["warc-target-uri"]) == url and block.endswith(b"x\r\n\r\ny")
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr(warc_zip.INDEX, "{}" * 100, compress_type=zipfile.ZIP_DEFLATED)
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("other", "x")
+    for name in "ab":
+        with pytest.raises(ValueError, match="compressed|no member"):
+            list(warc_zip.records(str(tmp_path / f"{name}.zip")))
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/", "x"), (2, "http://a/%0A\n", "x"), (3, None, None), (4, "u", ""), (5, "u", "é" * 100_000), (None, "u", "z"), (1, "http://a/", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_sha1", F.lit("clash")).withColumn("path", F.lit(1))
@@ -399,7 +602,7 @@ def test_zip_directories(tmp_path):
         z.writestr("packed", b"abc" * 100, compress_type=zipfile.ZIP_DEFLATED)
     with open(plain, "rb") as f:
         at = warc_zip.members(f)
-        assert set(at) == {"big", "é"} and warc_zip.read_range(f, *at["big"]) == b"0123456789" and warc_zip.read_range(f, *at["é"]) == b"abc"
+        assert set(at) == {"big", "é", "packed"} and at["packed"] is None and warc_zip.read_range(f, *at["big"]) == b"0123456789" and warc_zip.read_range(f, *at["é"]) == b"abc"
     # a ZIP64 end of central directory
     old, zipfile.ZIP_FILECOUNT_LIMIT = zipfile.ZIP_FILECOUNT_LIMIT, 1
     try:
