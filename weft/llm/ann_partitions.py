@@ -211,7 +211,8 @@ def sampled(rows: DataFrame, most: int) -> np.ndarray:
     vectors = [r._v for r in sorted(picked, key=lambda r: r._hash)]
     dims = [len(v) for v in vectors]
     dim = max(sorted(set(dims)), key=dims.count) if dims else 0
-    return np.array([v for v in vectors if len(v) == dim], np.float64).reshape(-1, dim)
+    fit_ = [v for v in vectors if len(v) == dim]
+    return np.array(fit_, np.float64).reshape(len(fit_), dim)
 
 
 def n_parts(rows: int, part_rows: int, least: int = 32, most: int = 512) -> int:
