@@ -135,6 +135,35 @@ def test_cache_never_widens_access(spark):
     assert len(set(prints)) == len(prints) and e.fingerprint(stream, options=admin) == prints[1]
 
 
+def test_frames_are_cached_apart(spark, tmp_path):
+    """A repeated operation is not lowered again; its frames share no execution, and a changed table,
+    user, budget or session setting gives a frame of its own."""
+    e = core.engine(spark, SF)
+    lowered = []
+    plain = e.lower
+    e.lower = lambda *a, **k: lowered.append(a) or plain(*a, **k)
+    text = "{ customers(first: 3) { c_custkey c_acctbal orders(last: 1) { o_orderkey } } }"
+    one, two = e.query(text).df, e.query(text).df
+    assert len(lowered) == 1 and one is not two and one.collect() == two.collect()
+    assert one._jdf.queryExecution() != two._jdf.queryExecution()
+    assert all(r.c_acctbal is None for r in one.collect())
+    full = e.query(text, options=Options(user=User(True, frozenset({"read:balance"})))).df
+    assert len(lowered) == 2 and all(r.c_acctbal is not None for r in full.collect())
+    cut = e.query(text, options=Options(budget=Budget(per_source={"sales": 0}))).df
+    assert len(lowered) == 3 and all(r.orders is None for r in cut.collect())
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        e.query(text)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert len(lowered) == 4
+    assert all(r.c_acctbal is None for r in e.query(text).df.collect()) and len(lowered) == 4
+    spark.read.parquet(f"{SF}/customer.parquet").filter("c_custkey > 100").write.parquet(str(tmp_path / "c"))
+    e.source("accounts", "Customer", str(tmp_path / "c"), unique=("c_custkey",))
+    assert [r.c_custkey for r in e.query(text).df.collect()] == [101, 102, 103] and len(lowered) == 5
+
+
 def test_costs_add_up(spark):
     for text in ("{ customers(first: 3) { c_custkey nation { n_name region { r_name } } orders(first: 2) { firstFlag lineItems { part { shipping } } } } }", "{ pieces { doc_id quality } }", "{ parts(first: 2) { shippingBand p_brand } }"):
         r = core.engine(spark, SF, Options(budget=Budget(default_list_size=4))).query(text)

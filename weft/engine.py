@@ -106,6 +106,7 @@ class Engine:
         self.rules: tuple = ()
         self.hooks: list[Hooks] = []
         self._plans: OrderedDict[tuple, tuple] = OrderedDict()
+        self._frames: OrderedDict[tuple, DataFrame] = OrderedDict()  # analysed, never run
         self.version = 0
         self.counters: Counter[str] = Counter()
         self._filters: list[Callable[[str, str], bool]] = []  # operation filters seen: their place names them
@@ -116,8 +117,7 @@ class Engine:
         """A new schema: running subscriptions end, cached plans go, tables stay."""
         self.catalog = Catalog(sdl)
         self.registry.catalog = self.catalog
-        self.version += 1
-        self._plans.clear()
+        self._changed()
         self.subscriptions.end_all()
 
     @classmethod
@@ -128,6 +128,7 @@ class Engine:
         """Plans made with other sources no longer count."""
         self.version += 1
         self._plans.clear()
+        self._frames.clear()
         return self
 
     def source(self, source: str, type_name: str, load, columns: dict[str, str] | None = None, unique: tuple[str, ...] | None = None) -> Engine:
@@ -170,7 +171,10 @@ class Engine:
 
     def prepare(self, text: str | None = None, variables: dict[str, Any] | None = None, operation: str | None = None, id: str | None = None, options: Options | None = None) -> tuple[Operation, list[Field], list[RootPlan], dict]:
         """Everything before Spark: parse, validate, normalise, authorise, plan. Cached."""
-        o = options or self.options
+        return self._prepare(text, variables, operation, id, options or self.options)[1]
+
+    def _prepare(self, text, variables, operation, id, o: Options) -> tuple[tuple, tuple[Operation, list[Field], list[RootPlan], dict]]:
+        """The key in the plan cache, and what stands there."""
         if id is not None:
             if id not in self.stored:
                 raise GraphQLError(f"no stored operation {id}", "PERSISTED_DOCUMENT_NOT_FOUND")
@@ -182,7 +186,7 @@ class Engine:
         if key in self._plans and not self.hooks:
             self._plans.move_to_end(key)
             self.counters["plan_cache_hits"] += 1
-            return self._plans[key]
+            return key, self._plans[key]
         self.counters["plan_cache_misses"] += 1
         doc = parse(text, o.limits.tokens)
         errors = validate(self.catalog, doc, self.rules, o.limits)
@@ -212,7 +216,7 @@ class Engine:
             self._plans[key] = out
             if len(self._plans) > 1000:
                 self._plans.popitem(last=False)
-        return out
+        return key, out
 
     def query(self, text: str | None = None, variables: dict[str, Any] | None = None, operation: str | None = None, id: str | None = None, options: Options | None = None) -> Result:
         o = options or self.options
@@ -226,7 +230,7 @@ class Engine:
             raise e
 
     def _query(self, text, variables, operation, id, o: Options) -> Result:
-        op, meta, plans, refused = self.prepare(text, variables, operation, id, o)
+        key, (op, meta, plans, refused) = self._prepare(text, variables, operation, id, o)
         root_type = self.catalog.roots[op.kind]
         errors = [GraphQLError(f"{t}.{f}", why, (t, f)) for (t, f), why in refused.items()]
         fetches, shape, total, costs, blocked = self._costs(op, meta, plans, o)
@@ -237,7 +241,7 @@ class Engine:
             for source, path in left_out:
                 errors.append(GraphQLError(f"{'.'.join(path)}: {source} is over its budget", "COST_SOURCE_TOO_EXPENSIVE", path))
             if kept is not None:
-                frames[p.key] = self.lower(kept, o)
+                frames[p.key] = self._lowered((key, p.key, frozenset(blocked)), kept, o) if op.kind == "query" else self.lower(kept, o)
 
         if op.kind == "mutation":
             plans = self._mutate(op, plans, refused, o, add, frames)
@@ -278,6 +282,22 @@ class Engine:
                 frames[f.key] = cut(frames[f.key])  # what later roots do to its sources must not show in it
         return done
 
+    def _lowered(self, key: tuple, plan: RootPlan, o: Options) -> DataFrame:
+        """``lower``, cached. A hit gives a DataFrame of its own over the analysed plan, so nothing that
+        an execution leaves behind, such as shuffle files, is kept or shared."""
+        if self.hooks:
+            return self.lower(plan, o)
+        # what analysis takes from the session
+        session = tuple(self.spark.conf.get(c) for c in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.caseSensitive"))
+        key = (*key, o.ordered, o.root_nulls, session)
+        if key not in self._frames:
+            self._frames[key] = self.lower(plan, o)
+            if len(self._frames) > 256:
+                self._frames.popitem(last=False)
+        self._frames.move_to_end(key)
+        df = self._frames[key]
+        return df.select("*") if df.columns else df
+
     def lower(self, plan: RootPlan, o: Options | None = None, streaming: dict | None = None) -> DataFrame:
         o = o or self.options
         lowering = Lowering(self.catalog, self.registry, streaming)
