@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections import Counter, OrderedDict
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +19,7 @@ from weft.functions.usage import coordinates
 from weft.gql.normalize import normalize, partition
 from weft.gql.syntax import Document, Field, GraphQLError, Operation, document_hash, minify, parse, print_operation
 from weft.gql.validate import Limits, validate
+from weft.operators.invalid import invalid_values
 from weft.operators.lower import Lowering
 from weft.plans.partial import without
 from weft.plans.planner import Planner, RootPlan, describe, reads
@@ -42,7 +43,11 @@ class Options:
 
 
 class Hooks:
-    """Called at the stages of a query; each may return a replacement, or None."""
+    """Called at the stages of a query; each may return a replacement, or None. ``Engine.use`` adds one."""
+
+    def on_init(self, engine: Engine) -> None: ...
+
+    def on_params(self, variables: dict[str, Any], options: Options) -> tuple[dict[str, Any], Options] | None: ...
 
     def on_parse(self, text: str) -> str | None: ...
 
@@ -58,6 +63,10 @@ class Hooks:
 
     def on_error(self, error: GraphQLError) -> GraphQLError | None: ...
 
+    def on_reload(self, sdl: str) -> str | None: ...
+
+    def on_shutdown(self) -> None: ...
+
 
 @dataclass
 class Result:
@@ -73,6 +82,7 @@ class Result:
     cost_by_source: dict[str, int] = field(default_factory=dict)
     cost_by_fetch: dict[tuple[str, str], int] = field(default_factory=dict)
     coordinates: list[str] = field(default_factory=list)
+    run: dict[str, RootPlan] = field(default_factory=dict)  # what stands behind each frame: its plan without refused reads
 
     @property
     def df(self) -> DataFrame:
@@ -88,6 +98,21 @@ class Result:
     def errors_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(".".join(map(str, e.path)), e.code, e.message) for e in self.errors], "path string, code string, message string")
 
+    def envelope(self, spark: SparkSession, found: DataFrame | None = None) -> DataFrame:
+        """The whole answer as rows (part, key, json): ``data`` rows of each root, ``errors``, and
+        ``extensions`` with the cost. Rows stay apart, so that a list of any length is written by many
+        tasks. found: errors in the data, of ``Engine.value_errors``."""
+        dumps = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"))
+        few = [("data", k, dumps(v)) for k, v in self.introspection.items()]
+        few += [("errors", ".".join(map(str, e.path)), dumps({"code": e.code, "message": e.message, "path": list(e.path)})) for e in self.errors]
+        few.append(("extensions", "cost", dumps({"bySource": self.cost_by_source, "estimated": self.estimated_cost})))
+        out = spark.createDataFrame(few, "part string, key string, json string")
+        for k in self.frames:
+            out = out.unionByName(self.json(k).select(F.lit("data").alias("part"), F.lit(k).alias("key"), "json"))
+        if found is not None:
+            out = out.unionByName(found.select(F.lit("errors").alias("part"), F.col("path").alias("key"), F.to_json(F.struct("code", "message", F.split("path", r"\.").alias("path"))).alias("json")))
+        return out
+
     def explain(self) -> str:
         return "\n".join(describe(p) for p in self.plans)
 
@@ -115,6 +140,8 @@ class Engine:
 
     def reload(self, sdl: str) -> None:
         """A new schema: running subscriptions end, cached plans go, tables stay."""
+        for h in self.hooks:
+            sdl = h.on_reload(sdl) or sdl
         self.catalog = Catalog(sdl)
         self.registry.catalog = self.catalog
         self._changed()
@@ -167,6 +194,17 @@ class Engine:
         self.stored |= manifest
         return self
 
+    def use(self, hook: Hooks) -> Engine:
+        hook.on_init(self)
+        self.hooks.append(hook)
+        return self
+
+    def close(self) -> None:
+        """Ends the subscriptions and tells the hooks, the last one first."""
+        self.subscriptions.end_all("the engine was closed")
+        while self.hooks:
+            self.hooks.pop().on_shutdown()
+
     # queries
 
     def prepare(self, text: str | None = None, variables: dict[str, Any] | None = None, operation: str | None = None, id: str | None = None, options: Options | None = None) -> tuple[Operation, list[Field], list[RootPlan], dict]:
@@ -221,6 +259,8 @@ class Engine:
     def query(self, text: str | None = None, variables: dict[str, Any] | None = None, operation: str | None = None, id: str | None = None, options: Options | None = None) -> Result:
         o = options or self.options
         self.counters["requests"] += 1
+        for h in self.hooks:
+            variables, o = h.on_params(variables or {}, o) or (variables, o)
         try:
             return self._query(text, variables, operation, id, o)
         except GraphQLError as e:
@@ -235,12 +275,14 @@ class Engine:
         errors = [GraphQLError(f"{t}.{f}", why, (t, f)) for (t, f), why in refused.items()]
         fetches, shape, total, costs, blocked = self._costs(op, meta, plans, o)
         frames: dict[str, DataFrame] = {}
+        ran: dict[str, RootPlan] = {}
 
         def add(p: RootPlan) -> None:
             kept, left_out = without(p, blocked) if blocked else (p, [])
             for source, path in left_out:
                 errors.append(GraphQLError(f"{'.'.join(path)}: {source} is over its budget", "COST_SOURCE_TOO_EXPENSIVE", path))
             if kept is not None:
+                ran[p.key] = kept
                 frames[p.key] = self._lowered((key, p.key, frozenset(blocked)), kept, o) if op.kind == "query" else self.lower(kept, o)
 
         if op.kind == "mutation":
@@ -249,7 +291,7 @@ class Engine:
             for p in plans:
                 add(p)
         intro = Introspection(self.catalog)
-        return Result(op, plans, frames, errors, {f.key: intro.answer(f) for f in meta}, total, shape, costs, fetches, coordinates(self.catalog, op))
+        return Result(op, plans, frames, errors, {f.key: intro.answer(f) for f in meta}, total, shape, costs, fetches, coordinates(self.catalog, op), ran)
 
     def _costs(self, op: Operation, meta: list[Field], plans: list[RootPlan], o: Options) -> tuple[dict, int, int, dict[str, int], set[str]]:
         """By fetch, of the shape, in total, by source; and the sources over their budgets."""
@@ -298,9 +340,9 @@ class Engine:
         df = self._frames[key]
         return df.select("*") if df.columns else df
 
-    def lower(self, plan: RootPlan, o: Options | None = None, streaming: dict | None = None) -> DataFrame:
+    def lower(self, plan: RootPlan, o: Options | None = None, streaming: dict | None = None, guard: bool = True) -> DataFrame:
         o = o or self.options
-        lowering = Lowering(self.catalog, self.registry, streaming)
+        lowering = Lowering(self.catalog, self.registry, streaming, guard)
         if self.hooks:
             plain = lowering._table
 
@@ -333,6 +375,14 @@ class Engine:
         p = next(x for x in result.plans if x.key == key)
         return by_fetch(result.frames[key], self.catalog, p, result.cost_by_fetch)
 
+    def value_errors(self, result: Result, key: str) -> DataFrame:
+        """path, value, code, message, n: the values at a root's positions that their enums do not have,
+        which are null in its frame, and how often each occurs. One aggregation over the answer with the
+        values as they stand in the sources, merged on the map side; of a mutation, as they stand now.
+        Empty where the operation asks for no enum."""
+        plan = result.run[key]
+        return invalid_values(self.lower(plan, replace(self.options, root_nulls="row"), guard=False), self.catalog, plan)
+
     def usage_record(self, text: str, result: Result, ok: bool = True) -> DataFrame:
         doc = parse(text)
         return self.spark.createDataFrame([(document_hash(doc), minify(doc), result.operation.name, result.coordinates, result.estimated_cost, ok)], "hash string, body string, name string, coordinates array<string>, estimated_cost long, ok boolean")
@@ -366,6 +416,11 @@ class Engine:
         who = [o.user.authenticated, sorted(o.user.scopes), None if o.operation_filter is None else self._filters.index(o.operation_filter), sorted(o.overrides.flags), o.overrides.percentage, o.reject_unauthorized, repr(o.limits), repr(o.budget), o.root_nulls]
         return f"{self.version}:{document_hash(parse(text))}:{json.dumps(variables or {}, sort_keys=True, default=str)}:{json.dumps(who)}"
 
+    def allowed(self, text: str, variables: dict[str, Any] | None = None, options: Options | None = None) -> str:
+        """The operation that is left when the refused fields are taken out, at any depth."""
+        op, _, _, refused = self.prepare(text, variables, options=options)
+        return print_operation(policy.rebuilt(op, self.catalog, refused))
+
     def print(self, text: str, variables: dict[str, Any] | None = None) -> str:
         """The normal form of an operation."""
         return print_operation(self.prepare(text, variables)[0])

@@ -38,8 +38,9 @@ def _slices(args: dict[str, Any]) -> tuple[int | None, int | None]:
 
 
 class Lowering:
-    def __init__(self, catalog: Catalog, registry: Registry, streaming: dict[tuple[str, str], DataFrame] | None = None):
-        self.catalog, self.registry, self.streaming = catalog, registry, streaming or {}
+    def __init__(self, catalog: Catalog, registry: Registry, streaming: dict[tuple[str, str], DataFrame] | None = None, guard: bool = True):
+        """guard: values that an enum does not have are null; else they stay."""
+        self.catalog, self.registry, self.streaming, self.guard = catalog, registry, streaming or {}, guard
         self._ids = count()
         self.before: dict[int, Any] = {}  # of a root's plan: its slice
         self.marks: dict[int, str] = {}  # of an interface object's plan: true where a row is of its type
@@ -154,7 +155,7 @@ class Lowering:
 
     def leaf(self, c: Column, t: TypeRef, source: str) -> Column:
         d = self.catalog.types.get(t.base)
-        if d is not None and d.kind == "enum":
+        if d is not None and d.kind == "enum" and self.guard:
             values = self.catalog.enum_values(t.base)
             check = lambda x: F.when(x.isin(values), x)
             c = F.transform(c, check) if t.of is not None else check(c)

@@ -7,18 +7,21 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cache, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.catalog import Catalog, Overrides
-from weft.engine import Engine, Options
+from weft.engine import Engine, Hooks, Options
 from weft.functions import usage
-from weft.functions.cost import BUCKETS, Budget
+from weft.functions.cost import BUCKETS, Budget, Estimator
 from weft.functions.introspect import Introspection
 from weft.functions.policy import User
-from weft.gql.syntax import parse_selections
+from weft.gql.normalize import normalize
+from weft.gql.syntax import GraphQLError, document_hash, parse, parse_selections, print_document
+from weft.gql.validate import Limits, validate
 from weft.storage import shared_dir
 
 SDL = """
@@ -292,7 +295,186 @@ def _subscription(spark: SparkSession, sf_dir: str, where: str = "") -> DataFram
     return spark.read.schema(df.schema).parquet(f"{top}/rows")
 
 
+def _rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """What the engine answers before any table is read; the SQL beside it states it in full."""
+    return spark.createDataFrame(rows, schema)
+
+
+#: rule -> an operation that breaks it, and one like it that does not
+RULE_CASES = {
+    "UniqueOperationNames": ("query A { regions { r_name } } query A { nations { n_name } }", "query A { regions { r_name } } query B { nations { n_name } }"),
+    "LoneAnonymousOperation": ("{ regions { r_name } } query B { nations { n_name } }", "query B { nations { n_name } }"),
+    "SingleFieldSubscriptions": ("subscription { a: eventAdded { event_id } b: eventAdded { event_id } }", "subscription { a: eventAdded { event_id } }"),
+    "KnownTypeNames": ("query($a: Nope) { orders(first: $a) { o_orderkey } }", "query($a: Int) { orders(first: $a) { o_orderkey } }"),
+    "FragmentsOnCompositeTypes": ("{ orders { ... on Status { x } } }", "{ orders { ... on Order { o_orderkey } } }"),
+    "VariablesAreInputTypes": ("query($a: Region) { orders(first: $a) { o_orderkey } }", "query($a: Int!) { orders(first: $a) { o_orderkey } }"),
+    "LeafFieldSelections": ("{ regions }", "{ regions { r_name } }"),
+    "FieldsOnCorrectType": ("{ regions { nope } }", "{ regions { __typename } }"),
+    "UniqueFragmentNames": ("{ regions { ...F } } fragment F on Region { r_name } fragment F on Region { r_name }", "{ regions { ...F } } fragment F on Region { r_name }"),
+    "KnownFragmentNames": ("{ regions { ...F } }", "{ regions { ...F } } fragment F on Region { r_name }"),
+    "NoUnusedFragments": ("{ regions { r_name } } fragment F on Region { r_name }", "{ regions { ...F } } fragment F on Region { r_name }"),
+    "NoFragmentCycles": ("{ regions { ...F } } fragment F on Region { nations { region { ...F } } }", "{ regions { ...F } } fragment F on Region { nations { region { r_name } } }"),
+    "UniqueVariableNames": ("query($a: Int, $a: Int) { orders(first: $a) { o_orderkey } }", "query($a: Int, $b: Int) { orders(first: $a, o_orderkey: $b) { o_orderkey } }"),
+    "NoUndefinedVariables": ("{ orders(first: $a) { o_orderkey } }", "query($a: Int) { orders(first: $a) { o_orderkey } }"),
+    "NoUnusedVariables": ("query($a: Int) { regions { r_name } }", "query { regions { r_name } }"),
+    "VariablesInAllowedPosition": ("query($a: String) { orders(first: $a) { o_orderkey } }", "query($a: Int = 2) { orders(first: $a) { o_orderkey } }"),
+    "KnownArgumentNames": ("{ orders(nope: 1) { o_orderkey } }", "{ orders(first: 1) { o_orderkey } }"),
+    "UniqueArgumentNames": ("{ orders(first: 1, first: 2) { o_orderkey } }", "{ orders(first: 1, o_orderkey: 2) { o_orderkey } }"),
+    "ProvidedRequiredArguments": ("mutation { reprice { p_partkey } }", "mutation { reprice(percent: 1) { p_partkey } }"),
+    "KnownDirectives": ("{ regions { r_name @nope } }", "{ regions { r_name @skip(if: true) } }"),
+    "UniqueDirectivesPerLocation": ("{ regions { r_name @skip(if: true) @skip(if: false) } }", "{ regions { r_name @skip(if: true) @include(if: false) } }"),
+    "UniqueInputFieldNames": ("{ orders(first: {a: 1, a: 2}) { o_orderkey } }", "{ orders(first: 1) { o_orderkey } }"),
+    "ValuesOfCorrectType": ('{ orders(first: "x") { o_orderkey } }', "{ events(event_type: click) { event_id } }"),
+    "PossibleFragmentSpreads": ("{ regions { ... on Part { p_partkey } } }", "{ parties { ... on Customer { c_custkey } } }"),
+    "OverlappingFieldsCanBeMerged": ("{ regions { x: r_name x: r_regionkey } }", "{ regions { x: r_name x: r_name } }"),
+}
+
+
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rule of validation: whether it finds the operation that breaks it, and what else is found in the one that does not."""
+
+    def codes(text: str) -> list[str]:
+        try:
+            return [e.code for e in validate(_catalog(), parse(text))]
+        except GraphQLError as e:
+            return [e.code]
+
+    return _rows(spark, "rule string, found boolean, others string", [(rule, rule in codes(bad), ",".join(codes(good))) for rule, (bad, good) in RULE_CASES.items()])
+
+
+def _access_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refusals, each twice after an answer to the same text without limits: the second time plans are cached."""
+    e = engine(spark, sf_dir)
+    text = "{ customers(first: 2) { a: c_name c_acctbal @skip(if: false) nation { n_name } } }"
+    options = {
+        "none": Options(), "depth": Options(limits=Limits(depth=2)), "depth_met": Options(limits=Limits(depth=3)), "aliases": Options(limits=Limits(aliases=0)),
+        "directives": Options(limits=Limits(directives=0)), "tokens": Options(limits=Limits(tokens=5)), "reject": Options(reject_unauthorized=True),
+        "reject_admin": Options(reject_unauthorized=True, user=User(True, frozenset({"admin"}))), "budget": Options(budget=Budget(most=3)), "budget_met": Options(budget=Budget(most=4)),
+    }
+    out = []
+    for name, o in options.items():
+        for n in (1, 2):
+            try:
+                answer = ",".join(x.code for x in e.query(text, options=o).errors) or "answer"
+            except GraphQLError as x:
+                answer = "refused " + x.code
+            out.append((name, n, answer))
+    return _rows(spark, "name string, n int, answer string", out)
+
+
+def _printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An operation as it is printed, in normal form, without what the user may not see; its hash; a plan."""
+    e = opened(spark, sf_dir)
+    text = "query Q($k: Int = 3, $yes: Boolean!) { regions { r_name ... on Region { r_regionkey @include(if: $yes) } } customers(c_custkey: $k) { ...F c_acctbal } } fragment F on Customer { nation { n_name } nation { n_nationkey @skip(if: $yes) } }"
+    one = lambda x: " ".join(x.split())
+    plan = e.query("{ orders { o_orderkey customer { c_name nation { n_name } } } }").explain()
+    rows = [("printed", one(print_document(parse("{a(x:[1,2],y:{z:E}) @d{b:c}}")))), ("normal", one(e.print(text, {"yes": True}))), ("allowed", one(e.allowed(text, {"yes": True})))]
+    rows += [("hash", document_hash(parse("{regions{r_name}}")))] + [(f"plan {i}", line.strip()) for i, line in enumerate(plan.splitlines())]
+    return _rows(spark, "what string, text string", rows)
+
+
+def _formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimates that follow from weights, list sizes, sized fields, input objects and mutations."""
+    c = Catalog("""type Query { book: Book books(limit: Int): [Book!]! @listSize(slicingArguments: ["limit"]) best: [Book!]! @listSize(assumedSize: 5)
+      page(first: Int): Page @listSize(slicingArguments: ["first"], sizedFields: ["items"]) any(q: In): Int }
+    type Page { items: [Book!]! total: Int } type Mutation { touch: Int make: Book }
+    type Book { title: String @cost(weight: 3) author: Person publisher: Firm } type Person { name: String } type Firm { address: Place } type Place @cost(weight: 5) { zip: String }
+    input In { a: Int @cost(weight: 2) more: [In!] }""")
+    book = "{ author { name } publisher { address { zip } } }"
+    texts = {"object": f"{{ book {book} }}", "assumed": f"{{ best {book} }}", "sliced": f"{{ books(limit: 3) {book} }}", "sized": f"{{ page(first: 5) {{ items {book} total }} }}", "weight": "{ book { title } }", "mutation": "mutation { touch }",
+             "mutation_object": "mutation { make { author { name } } }", "input": "{ any(q: {a: 1, more: [{a: 2}, {}]}) }", "skipped": "{ book { title @skip(if: true) author { name } } }"}
+    out = []
+    for name, text in texts.items():
+        op = normalize(c, parse(text), None, {})
+        out.append((name, Estimator(c).operation(op.kind, op.selections)))
+    return _rows(spark, "name string, cost long", out)
+
+
+def _value_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = opened(spark, sf_dir)
+    r = e.query("{ orders { o_orderkey status } customers { orders { status } } events { event_type } }")
+    a, b, c = (e.value_errors(r, k) for k in ("orders", "customers", "events"))
+    return a.unionByName(b).unionByName(c)
+
+
+def _envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = opened(spark, sf_dir)
+    r = e.query("{ orders(first: 3) { o_orderkey status } customers { c_custkey c_acctbal } __schema { queryType { name } } }")
+    return r.envelope(spark, e.value_errors(r, "customers"))
+
+
+class _OnlyAsia(Hooks):
+    def __init__(self):
+        self.seen: list[str] = []
+
+    def on_init(self, engine):
+        self.seen.append("init")
+
+    def on_params(self, variables, options):
+        self.seen.append("params")
+        return {"k": 2} | variables, options
+
+    def on_parse(self, text):
+        self.seen.append("parse")
+        return text.replace("NAME", "r_name")
+
+    def on_validate(self, doc, errors):
+        self.seen.append("validate")
+
+    def on_analysis(self, op):
+        self.seen.append("analysis")
+
+    def on_plan(self, plans):
+        self.seen.append("plan")
+
+    def on_source(self, source, type_name, df):
+        self.seen.append(f"source {type_name}")
+        return df.filter("r_name = 'ASIA'") if type_name == "Region" else None
+
+    def on_execute(self, key, df):
+        self.seen.append(f"execute {key}")
+
+    def on_error(self, error):
+        self.seen.append("error")
+
+    def on_reload(self, sdl):
+        self.seen.append("reload")
+
+    def on_shutdown(self):
+        self.seen.append("shutdown")
+
+
+def _hooked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).use(_OnlyAsia()).query("query($k: Int) { nations { n_nationkey region { NAME } } orders(first: $k) { o_orderkey } }").frames["nations"].select("n_nationkey", "region.r_name")
+
+
+def _hook_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hook = _OnlyAsia()
+    e = engine(spark, sf_dir).use(hook)
+    e.query("{ nations { region { NAME } } }")
+    try:
+        e.query("{ nope }")
+    except GraphQLError:
+        pass
+    e.reload(SDL)
+    e.close()
+    return _rows(spark, "step int, stage string", list(enumerate(hook.seen)))
+
+
+def _other_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source put in the place of another: it offers two regions only."""
+    e = engine(spark, sf_dir).source("geo", "Region", lambda s: s.read.parquet(f"{sf_dir}/region.parquet").filter("r_regionkey < 2"))
+    return e.query("{ nations { n_nationkey region { r_name } } }").df.select("n_nationkey", "region.r_name")
+
+
+def _usage_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = opened(spark, sf_dir)
+    text = "query Names { regions { r_name } }"
+    return e.usage_record(text, e.query(text)).withColumn("coordinates", F.array_join("coordinates", ","))
+
+
 _ADMIN = Options(user=User(True, frozenset({"read:balance"})))
+_NO_SALES = Options(budget=Budget(per_source={"sales": 0}, default_list_size=1))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "root_scan": _run("{ regions { r_regionkey r_name } }"),
@@ -356,6 +538,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mutation_reprice": _mutation,
     "sub_enrich": _subscription,
     "sub_filter": lambda spark, sf_dir: _subscription(spark, sf_dir, "(event_type: purchase)"),
+    "validation_rules": _rules,
+    "access_and_limits": _access_cases,
+    "printed_forms": _printed,
+    "cost_formulas": _formulas,
+    "value_errors": _value_errors,
+    "envelope": _envelope,
+    "hook_source": _hooked,
+    "hook_calls": _hook_calls,
+    "source_override": _other_table,
+    "usage_record": _usage_record,
+    "condition_algebra": _run("query($yes: Boolean!, $no: Boolean!) { nations { n_nationkey ...F @include(if: $yes) ... @skip(if: $no) { same: n_nationkey ... @include(if: $no) { never: n_nationkey } } } } fragment F on Nation { n_name @skip(if: $no) region @include(if: $yes) { r_name @skip(if: $yes) r_regionkey } gone: n_name @include(if: $yes) @skip(if: $yes) }", "n_nationkey", "same", "n_name", "region.r_regionkey AS r_regionkey", "size(map_keys(from_json(to_json(struct(*)), 'map<string,string>'))) AS n_keys", variables={"yes": True, "no": False}),
+    "empty_object": _run("query($yes: Boolean!) { nations { n_nationkey region { r_name @skip(if: $yes) } } }", "n_nationkey", "region IS NULL AS gone", variables={"yes": True}),
+    "null_root_row": _run("{ customers { c_custkey orders { o_orderkey } } }", "c_custkey", "orders IS NULL AS gone", options=_NO_SALES),
+    "null_root_list": _run("{ customers { c_custkey orders { o_orderkey } } }", "c_custkey", "orders IS NULL AS gone", options=replace(_NO_SALES, root_nulls="spec")),
     "leaf_list": _run("{ embeddings { vec_id label embedding } }", "vec_id", "label", "cast(size(embedding) as bigint) AS dim"),
 }
 
@@ -363,6 +559,7 @@ _EVENT_JOIN = "SELECT event_id, event_type, c_custkey, c_mktsegment FROM events
 _COST = """SELECT c_custkey, CAST(1 + coalesce(sum(2 + coalesce(n, 0)), 0) AS BIGINT) AS actual_cost FROM customer
 LEFT JOIN (SELECT o_custkey, o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders) o ON o_custkey = c_custkey GROUP BY c_custkey"""
 _SHIPPING = "CASE WHEN p_retailprice > 1000 THEN 0 ELSE CAST(floor(p_size / 2) AS BIGINT) END"
+_BAD_STATUS = "SELECT '{path}' AS path, o_orderstatus AS value, 'INVALID_ENUM_VALUE' AS code, 'not a value of Status: ' || o_orderstatus AS message, count(*) AS n FROM {rows} WHERE o_orderstatus NOT IN ('O', 'F') GROUP BY o_orderstatus"
 
 ORACLES: dict[str, str] = {
     "root_scan": "SELECT r_regionkey, r_name FROM region",
@@ -432,6 +629,33 @@ ORACLES: dict[str, str] = {
     "mutation_reprice": "SELECT p_partkey, CAST(round(round(p_retailprice * 110 / 100, 2) * 100) AS BIGINT) AS cents FROM part",
     "sub_enrich": _EVENT_JOIN,
     "sub_filter": f"{_EVENT_JOIN} WHERE event_type = 'purchase'",
+    "validation_rules": "SELECT rule, true AS found, '' AS others FROM (VALUES " + ", ".join(f"('{r}')" for r in RULE_CASES) + ") t(rule)",
+    "access_and_limits": """SELECT name, n, answer FROM (VALUES ('none', 'UNAUTHORIZED_FIELD_OR_TYPE'), ('depth', 'refused LIMIT_EXCEEDED'), ('depth_met', 'UNAUTHORIZED_FIELD_OR_TYPE'), ('aliases', 'refused LIMIT_EXCEEDED'),
+        ('directives', 'refused LIMIT_EXCEEDED'), ('tokens', 'refused TOKEN_LIMIT_EXCEEDED'), ('reject', 'refused UNAUTHORIZED_FIELD_OR_TYPE'), ('reject_admin', 'answer'),
+        ('budget', 'refused COST_ESTIMATED_TOO_EXPENSIVE'), ('budget_met', 'refused COST_ESTIMATED_TOO_EXPENSIVE')) t(name, answer), (VALUES (1), (2)) u(n)""",
+    "printed_forms": """SELECT * FROM (VALUES ('printed', '{ a(x: [1, 2], y: {z: E}) @d { b: c } }'),
+        ('normal', 'query Q($k: Int = 3, $yes: Boolean!) { regions { r_name r_regionkey } customers(c_custkey: 3) { nation { n_name } c_acctbal } }'),
+        ('allowed', 'query Q { regions { r_name r_regionkey } customers(c_custkey: 3) { nation { n_name } } }'), ('hash', sha256('{ regions { r_name } }')),
+        ('plan 0', 'Root orders: [Order!]! from SALES'), ('plan 1', 'Scan SALES.Order [o_orderkey, o_custkey]'), ('plan 2', 'Object customer as Customer on {''o_custkey'': ''c_custkey''}'), ('plan 3', 'Key SALES.Customer [c_custkey]'),
+        ('plan 4', 'KeyJoin ACCOUNTS.Customer on (c_custkey) [c_name, c_nationkey]'), ('plan 5', 'Object nation as Nation on {''c_nationkey'': ''n_nationkey''}'), ('plan 6', 'Key ACCOUNTS.Nation [n_nationkey]'),
+        ('plan 7', 'KeyJoin GEO.Nation on (n_nationkey) [n_name]')) t(what, text)""",
+    # a book: author 1, publisher 1, its place 5, itself 1
+    "cost_formulas": "SELECT name, CAST(cost AS BIGINT) AS cost FROM (VALUES ('object', 1 + 1 + 1 + 5), ('assumed', 5 * 8), ('sliced', 3 * 8), ('sized', 1 + 5 * 8), ('weight', 1 + 3), ('mutation', 10), ('mutation_object', 10 + 1 + 1), ('input', 3 + 2 + 2), ('skipped', 1 + 1)) t(name, cost)",
+    "value_errors": f"{_BAD_STATUS.format(path='orders.status', rows='orders')} UNION ALL {_BAD_STATUS.format(path='customers.orders.status', rows='customer JOIN orders ON o_custkey = c_custkey')}",
+    "envelope": """SELECT 'data' AS part, 'orders' AS key, '{"o_orderkey":' || o_orderkey || ',"status":' || CASE WHEN o_orderstatus IN ('O', 'F') THEN '"' || o_orderstatus || '"' ELSE 'null' END || '}' AS json FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 3)
+        UNION ALL SELECT 'data', 'customers', '{"c_custkey":' || c_custkey || ',"c_acctbal":null}' FROM customer UNION ALL SELECT 'data', '__schema', '{"queryType":{"name":"Query"}}'
+        UNION ALL SELECT 'errors', 'Customer.c_acctbal', '{"code":"UNAUTHORIZED_FIELD_OR_TYPE","message":"Customer.c_acctbal","path":["Customer","c_acctbal"]}'
+        UNION ALL SELECT 'extensions', 'cost', '{"bySource":{"ACCOUNTS":0,"SALES":6},"estimated":6}'""",
+    "hook_source": "SELECT n_nationkey, CASE WHEN r_name = 'ASIA' THEN r_name END AS r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey",
+    "hook_calls": """SELECT * FROM (VALUES (0, 'init'), (1, 'params'), (2, 'parse'), (3, 'validate'), (4, 'analysis'), (5, 'plan'), (6, 'source Nation'), (7, 'source Region'), (8, 'execute nations'),
+        (9, 'params'), (10, 'parse'), (11, 'validate'), (12, 'error'), (13, 'reload'), (14, 'shutdown')) t(step, stage)""",
+    "source_override": "SELECT n_nationkey, CASE WHEN r_regionkey < 2 THEN r_name END AS r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey",
+    "usage_record": "SELECT sha256('query Names { regions { r_name } }') AS hash, 'query Names { regions { r_name } }' AS body, 'Names' AS name, 'Query.regions,Region.r_name' AS coordinates, CAST(0 AS BIGINT) AS estimated_cost, true AS ok",
+    "condition_algebra": "SELECT n_nationkey, n_nationkey AS same, n_name, r_regionkey, 4 AS n_keys FROM nation LEFT JOIN region ON n_regionkey = r_regionkey",
+    "empty_object": "SELECT n_nationkey, n_regionkey IS NULL AS gone FROM nation",
+    # orders must not be null, so they take their customer along, and with the spec's rule the whole list
+    "null_root_row": "SELECT CAST(NULL AS BIGINT) AS c_custkey, true AS gone FROM customer",
+    "null_root_list": "SELECT c_custkey, true AS gone FROM customer WHERE false",
     "leaf_list": "SELECT vec_id, label, len(embedding) AS dim FROM embeddings",
 }
 
