@@ -76,6 +76,33 @@ def test_overrides_move_the_read(spark):
         assert ("KeyJoin STOCK" in r.explain()) == (source == "STOCK")
 
 
+def test_shared_roots_are_merged_by_their_order(spark):
+    e = core.engine(spark, SF)
+    plan = e.query("{ skus { p_partkey p_name p_size } }").explain()
+    assert plan == "\n".join(["Root skus: [Sku!]! from CATALOG", "  Scan CATALOG.Sku [p_partkey, p_name]", "  KeyJoin STOCK.Sku on (p_partkey) [p_size]"])
+    assert e.query("{ skus { p_size } }").reads == 1
+    e.root("stock", "skus")  # nothing to merge by
+    with pytest.raises(GraphQLError) as x:
+        e.query("{ skus { p_name p_size } }")
+    assert x.value.code == "UNPLANNABLE"
+
+
+def test_value_errors_below_lists(spark):
+    e = Engine(spark, "type Query { boxes: [Box!]! } type Box { id: Int tones: [Tone] many: [[Tone!]] tone: Tone! inner: [Box] } enum Tone { LOW HIGH }")
+    rows = spark.createDataFrame([(1, ["LOW", "bad", None], [["odd"], None, ["HIGH"]], "bad", None), (2, None, None, "LOW", 1)], "id int, tones array<string>, many array<array<string>>, tone string, up int")
+    e.source("main", "Box", rows).root("main", "boxes", ("id",)).link("main", "Box.inner", {"id": "up"})
+    r = e.query("{ boxes { id tones many tone inner { t: tone } } }")
+    got = {(x.path, x.value, x.n) for x in e.value_errors(r, "boxes").collect()}
+    assert got == {("boxes.tones", "bad", 1), ("boxes.many", "odd", 1), ("boxes.tone", "bad", 1)}
+
+
+def test_the_operation_without_refused_fields(spark):
+    e = core.engine(spark, SF)
+    o = Options(operation_filter=lambda t, f: f not in ("r_name", "n_name"))
+    got = e.allowed("query Q($k: Int) { regions { r_name nations { n_name } } customers(c_custkey: $k) { c_name nation { n_name region { r_regionkey } } } }", {"k": 1}, o)
+    assert got.split() == "query Q { customers(c_custkey: 1) { c_name nation { region { r_regionkey } } } }".split()
+
+
 def test_filters_reach_the_scan(engine):
     plan = engine.query("{ customers(c_custkey: 3) { c_name } }").df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(c_custkey,3)" in plan and "c_acctbal" not in plan.split("ReadSchema")[1]

@@ -157,8 +157,11 @@ class Lowering:
         d = self.catalog.types.get(t.base)
         if d is not None and d.kind == "enum" and self.guard:
             values = self.catalog.enum_values(t.base)
-            check = lambda x: F.when(x.isin(values), x)
-            c = F.transform(c, check) if t.of is not None else check(c)
+
+            def check(x: Column, at: TypeRef) -> Column:
+                return F.when(x.isin(values), x) if at.of is None else F.transform(x, lambda y: check(y, at.of))
+
+            c = check(c, t)
         return settle(c, t)
 
     def null_type(self, f: FieldPlan) -> T.DataType:

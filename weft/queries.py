@@ -51,6 +51,7 @@ type Query {
   notes: [Note!]! @join__field(graph: RATINGS)
   turns: [Turn!]! @join__field(graph: CHATS)
   embeddings: [Embedding!]! @join__field(graph: VECTORS)
+  skus(first: Int): [Sku!]! @join__field(graph: CATALOG) @join__field(graph: STOCK)
 }
 type Mutation { reprice(percent: Int!): [Part!]! @join__field(graph: CATALOG) }
 type Subscription { eventAdded(event_type: EventType): Event! @join__field(graph: ACTIVITY) }
@@ -82,6 +83,7 @@ type Part @join__type(graph: CATALOG, key: "p_partkey") @join__type(graph: SALES
   shipping: Int @join__field(graph: STOCK, requires: "p_retailprice p_size")
   shippingBand: String @join__field(graph: STOCK, requires: "shipping")
 }
+type Sku @join__type(graph: CATALOG) @join__type(graph: STOCK) { p_partkey: Int! p_name: String @join__field(graph: CATALOG) p_size: Int @join__field(graph: STOCK) }
 type Order @join__type(graph: SALES, key: "o_orderkey") @join__type(graph: SHIPPING, key: "o_orderkey") @cost(weight: 2) {
   o_orderkey: Int! o_orderstatus: String @join__field(graph: SALES) status: Status @join__field(graph: SALES) o_orderpriority: String @join__field(graph: SALES) customer: Customer @join__field(graph: SALES) lineItems(first: Int): [LineItem!]! @join__field(graph: SALES) @listSize(assumedSize: 4)
   firstFlag: String @join__field(graph: SHIPPING)
@@ -122,6 +124,8 @@ def engine(spark: SparkSession, sf_dir: str, options: Options | None = None) ->
     e.source("catalog", "Part", at("part"), {"p_container": "concat('C', p_size)"}, unique=("p_partkey",)).source("catalog", "Supplier", at("supplier"), unique=("s_suppkey",))
     e.link("catalog", "Supplier.nation", {"s_nationkey": "n_nationkey"})
     e.root("catalog", "parts", ("p_partkey",)).root("catalog", "suppliers", ("s_suppkey",)).root("catalog", "reprice", ("p_partkey",), where=lambda args: F.lit(True))
+    e.source("catalog", "Sku", at("part"), unique=("p_partkey",)).source("stock", "Sku", lambda s: s.read.parquet(at("part")).filter("p_partkey % 2 = 0"), {"p_size": "p_size + 100"}, unique=("p_partkey",))
+    e.root("catalog", "skus", ("p_partkey",)).root("stock", "skus", ("p_partkey",))
     # its own values of the overridden fields, so that results tell the owners apart
     e.source("stock", "Part", at("part"), {"p_brand": "concat('S-', p_brand)", "p_type": "upper(p_type)", "p_container": "concat('S', p_size)"}, unique=("p_partkey",))
     e.resolver("stock", "Part.shipping")(lambda c, a: F.when(c["p_retailprice"] > 1000, F.lit(0)).otherwise(F.floor(c["p_size"] / 2)).cast("long"))
@@ -538,6 +542,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mutation_reprice": _mutation,
     "sub_enrich": _subscription,
     "sub_filter": lambda spark, sf_dir: _subscription(spark, sf_dir, "(event_type: purchase)"),
+    "shared_root": _run("{ skus { p_partkey name: p_name p_size } }"),
+    "shared_root_one_source": _run("{ skus(first: 4) { p_partkey p_size } }"),
     "validation_rules": _rules,
     "access_and_limits": _access_cases,
     "printed_forms": _printed,
@@ -624,11 +630,13 @@ ORACLES: dict[str, str] = {
     "json_scalar": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "introspect_types": """SELECT * FROM (VALUES ('Customer', 'OBJECT', 7, 0), ('Document', 'OBJECT', 6, 0), ('Embedding', 'OBJECT', 3, 0), ('EnglishPiece', 'OBJECT', 4, 0), ('Event', 'OBJECT', 5, 0), ('EventType', 'ENUM', 0, 0), ('JSON', 'SCALAR', 0, 0),
         ('LineItem', 'OBJECT', 5, 0), ('Mutation', 'OBJECT', 1, 0), ('Nation', 'OBJECT', 3, 0), ('Note', 'OBJECT', 3, 0), ('Order', 'OBJECT', 7, 0), ('OtherPiece', 'OBJECT', 4, 0), ('Part', 'OBJECT', 9, 0), ('Party', 'UNION', 0, 2), ('Piece', 'INTERFACE', 3, 2),
-        ('Query', 'OBJECT', 14, 0), ('Rating', 'OBJECT', 2, 0), ('Region', 'OBJECT', 4, 0), ('Status', 'ENUM', 0, 0), ('Subscription', 'OBJECT', 1, 0), ('Supplier', 'OBJECT', 4, 0), ('Turn', 'OBJECT', 4, 0)) t(type_name, kind, n_fields, n_possible)""",
+        ('Query', 'OBJECT', 15, 0), ('Sku', 'OBJECT', 3, 0), ('Rating', 'OBJECT', 2, 0), ('Region', 'OBJECT', 4, 0), ('Status', 'ENUM', 0, 0), ('Subscription', 'OBJECT', 1, 0), ('Supplier', 'OBJECT', 4, 0), ('Turn', 'OBJECT', 4, 0)) t(type_name, kind, n_fields, n_possible)""",
     "stored_operation": "SELECT r_regionkey, r_name FROM region",
     "mutation_reprice": "SELECT p_partkey, CAST(round(round(p_retailprice * 110 / 100, 2) * 100) AS BIGINT) AS cents FROM part",
     "sub_enrich": _EVENT_JOIN,
     "sub_filter": f"{_EVENT_JOIN} WHERE event_type = 'purchase'",
+    "shared_root": "SELECT p_partkey, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN p_size + 100 END AS p_size FROM part",
+    "shared_root_one_source": "SELECT p_partkey, p_size + 100 AS p_size FROM part WHERE p_partkey % 2 = 0 ORDER BY p_partkey LIMIT 4",
     "validation_rules": "SELECT rule, true AS found, '' AS others FROM (VALUES " + ", ".join(f"('{r}')" for r in RULE_CASES) + ") t(rule)",
     "access_and_limits": """SELECT name, n, answer FROM (VALUES ('none', 'UNAUTHORIZED_FIELD_OR_TYPE'), ('depth', 'refused LIMIT_EXCEEDED'), ('depth_met', 'UNAUTHORIZED_FIELD_OR_TYPE'), ('aliases', 'refused LIMIT_EXCEEDED'),
         ('directives', 'refused LIMIT_EXCEEDED'), ('tokens', 'refused TOKEN_LIMIT_EXCEEDED'), ('reject', 'refused UNAUTHORIZED_FIELD_OR_TYPE'), ('reject_admin', 'answer'),
