@@ -477,6 +477,45 @@ def _usage_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.usage_record(text, e.query(text)).withColumn("coordinates", F.array_join("coordinates", ","))
 
 
+ITEMS = """
+enum join__Graph { A @join__graph(name: "a") B @join__graph(name: "b") C @join__graph(name: "c") }
+type Query { items: [Item!]! @join__field(graph: A) }
+type Item @join__type(graph: A, key: "id") @join__type(graph: B, key: "id") @join__type(graph: B, key: "org { no } sku") @join__type(graph: C, key: "org { no } sku") {
+  id: Int! @join__field(graph: A) @join__field(graph: B) sku: String @join__field(graph: B) @join__field(graph: C) tag: String @join__field(graph: C) shape: Shape @join__field(graph: A)
+  pairs: [[Int!]] @join__field(graph: A) strict: [[Int!]!] @join__field(graph: A) }
+union Shape @join__type(graph: A) @join__unionMember(graph: A, member: "Circle") @join__unionMember(graph: A, member: "Square") = Circle | Square
+type Circle @join__type(graph: A, key: "id") { id: Int! size: Int }
+type Square @join__type(graph: A, key: "id") { id: Int! size: Int }
+"""
+_PAIRS = "array(array(p_size, nullif(p_size % 2, 1)), array(1))"
+
+
+def _items(text: str, *columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Parts as items of three sources; the third knows them by another key than the first."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = Engine(spark, ITEMS)
+        part = f"{sf_dir}/part.parquet"
+        e.source("a", "Item", part, {"id": "p_partkey", "kind": "if(p_size % 2 = 1, 'Circle', 'Square')", "pairs": _PAIRS, "strict": _PAIRS}, unique=("id",)).root("a", "items", ("id",))
+        e.source("b", "Item", part, {"id": "p_partkey", "org.no": "p_size", "sku": "p_name"}, unique=("id",)).source("c", "Item", part, {"org.no": "p_size", "sku": "p_name", "tag": "p_type"})
+        e.source("a", "Circle", part, {"id": "p_partkey", "size": "p_size"}, unique=("id",)).source("a", "Square", part, {"id": "p_partkey", "size": "p_partkey"}, unique=("id",))
+        e.link("a", "Item.shape", {"id": "id"}, tag="kind")
+        return e.query(text).df.selectExpr(*columns)
+
+    return query
+
+
+def _counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an engine counts over five requests, of which one repeats and two are refused."""
+    e = engine(spark, sf_dir)
+    for text in ("{ regions { r_name } }", "{ regions { r_name } }", "{ nope }", "{ nations { n_name } }", "{ __schema { queryType { name } } }"):
+        try:
+            e.query(text, options=Options(introspection=False))
+        except GraphQLError as x:
+            e.counters[x.code] += 1
+    return _rows(spark, "counter string, n long", sorted(e.counters.items()))
+
+
 _ADMIN = Options(user=User(True, frozenset({"read:balance"})))
 _NO_SALES = Options(budget=Budget(per_source={"sales": 0}, default_list_size=1))
 
@@ -544,6 +583,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sub_filter": lambda spark, sf_dir: _subscription(spark, sf_dir, "(event_type: purchase)"),
     "shared_root": _run("{ skus { p_partkey name: p_name p_size } }"),
     "shared_root_one_source": _run("{ skus(first: 4) { p_partkey p_size } }"),
+    "entity_alternative_keys": _items("{ items { id tag } }", "id", "tag"),
+    "clashing_types": _items("{ items { id shape { __typename ... on Circle { size } ... on Square { size } } } }", "id", "shape.__typename AS typename", "shape.size__Circle AS circle", "shape.size__Square AS square"),
+    "null_nested_list": _items("{ items { id pairs strict } }", "id", "pairs[0] IS NULL AS gone", "cast(size(pairs) as bigint) AS n", "strict IS NULL AS all_gone"),
+    "engine_counters": _counters,
     "validation_rules": _rules,
     "access_and_limits": _access_cases,
     "printed_forms": _printed,
@@ -637,6 +680,10 @@ ORACLES: dict[str, str] = {
     "sub_filter": f"{_EVENT_JOIN} WHERE event_type = 'purchase'",
     "shared_root": "SELECT p_partkey, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN p_size + 100 END AS p_size FROM part",
     "shared_root_one_source": "SELECT p_partkey, p_size + 100 AS p_size FROM part WHERE p_partkey % 2 = 0 ORDER BY p_partkey LIMIT 4",
+    "entity_alternative_keys": "SELECT x.p_partkey AS id, tag FROM part x LEFT JOIN (SELECT p_size, p_name, min(p_type) AS tag FROM part GROUP BY ALL) y ON x.p_size = y.p_size AND x.p_name = y.p_name",
+    "clashing_types": "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 1 THEN 'Circle' ELSE 'Square' END AS typename, CASE WHEN p_size % 2 = 1 THEN p_size END AS circle, CASE WHEN p_size % 2 = 0 THEN p_partkey END AS square FROM part",
+    "null_nested_list": "SELECT p_partkey AS id, p_size % 2 = 1 AS gone, CAST(2 AS BIGINT) AS n, p_size % 2 = 1 AS all_gone FROM part",
+    "engine_counters": "SELECT counter, CAST(n AS BIGINT) AS n FROM (VALUES ('requests', 5), ('errors', 2), ('plan_cache_hits', 1), ('plan_cache_misses', 4), ('FieldsOnCorrectType', 1), ('INTROSPECTION_DISABLED', 1)) t(counter, n)",
     "validation_rules": "SELECT rule, true AS found, '' AS others FROM (VALUES " + ", ".join(f"('{r}')" for r in RULE_CASES) + ") t(rule)",
     "access_and_limits": """SELECT name, n, answer FROM (VALUES ('none', 'UNAUTHORIZED_FIELD_OR_TYPE'), ('depth', 'refused LIMIT_EXCEEDED'), ('depth_met', 'UNAUTHORIZED_FIELD_OR_TYPE'), ('aliases', 'refused LIMIT_EXCEEDED'),
         ('directives', 'refused LIMIT_EXCEEDED'), ('tokens', 'refused TOKEN_LIMIT_EXCEEDED'), ('reject', 'refused UNAUTHORIZED_FIELD_OR_TYPE'), ('reject_admin', 'answer'),
