@@ -482,7 +482,10 @@ enum join__Graph { A @join__graph(name: "a") B @join__graph(name: "b") C @join__
 type Query { items: [Item!]! @join__field(graph: A) }
 type Item @join__type(graph: A, key: "id") @join__type(graph: B, key: "id") @join__type(graph: B, key: "org { no } sku") @join__type(graph: C, key: "org { no } sku") {
   id: Int! @join__field(graph: A) @join__field(graph: B) sku: String @join__field(graph: B) @join__field(graph: C) tag: String @join__field(graph: C) shape: Shape @join__field(graph: A)
-  pairs: [[Int!]] @join__field(graph: A) strict: [[Int!]!] @join__field(graph: A) }
+  pairs: [[Int!]] @join__field(graph: A) strict: [[Int!]!] @join__field(graph: A)
+  label(style: String = "long"): String @join__field(graph: A)
+  area: Int @join__field(graph: B, requires: "shape { ... on Circle { size } ... on Square { size } }")
+  sign: String @join__field(graph: B, requires: "label(style: \\"short\\")") }
 union Shape @join__type(graph: A) @join__unionMember(graph: A, member: "Circle") @join__unionMember(graph: A, member: "Square") = Circle | Square
 type Circle @join__type(graph: A, key: "id") { id: Int! size: Int }
 type Square @join__type(graph: A, key: "id") { id: Int! size: Int }
@@ -500,6 +503,9 @@ def _items(text: str, *columns: str) -> Callable[[SparkSession, str], DataFrame]
         e.source("b", "Item", part, {"id": "p_partkey", "org.no": "p_size", "sku": "p_name"}, unique=("id",)).source("c", "Item", part, {"org.no": "p_size", "sku": "p_name", "tag": "p_type"})
         e.source("a", "Circle", part, {"id": "p_partkey", "size": "p_size"}, unique=("id",)).source("a", "Square", part, {"id": "p_partkey", "size": "p_partkey"}, unique=("id",))
         e.link("a", "Item.shape", {"id": "id"}, tag="kind")
+        e.resolver("a", "Item.label")(lambda c, args: F.lit("S" if args.get("style") == "short" else "L"))
+        e.resolver("b", "Item.area")(lambda c, args: F.coalesce(3 * c["shape"]["size__Circle"], c["shape"]["size__Square"] * c["shape"]["size__Square"]).cast("long"))
+        e.resolver("b", "Item.sign")(lambda c, args: F.concat(F.lit("<"), c["label"], F.lit(">")))
         return e.query(text).df.selectExpr(*columns)
 
     return query
@@ -584,6 +590,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shared_root": _run("{ skus { p_partkey name: p_name p_size } }"),
     "shared_root_one_source": _run("{ skus(first: 4) { p_partkey p_size } }"),
     "entity_alternative_keys": _items("{ items { id tag } }", "id", "tag"),
+    "requires_fragments": _items("{ items { id area } }", "id", "area"),
+    "requires_arguments": _items("{ items { id sign label } }", "id", "sign", "label"),
     "clashing_types": _items("{ items { id shape { __typename ... on Circle { size } ... on Square { size } } } }", "id", "shape.__typename AS typename", "shape.size__Circle AS circle", "shape.size__Square AS square"),
     "null_nested_list": _items("{ items { id pairs strict } }", "id", "pairs[0] IS NULL AS gone", "cast(size(pairs) as bigint) AS n", "strict IS NULL AS all_gone"),
     "engine_counters": _counters,
@@ -681,6 +689,8 @@ ORACLES: dict[str, str] = {
     "shared_root": "SELECT p_partkey, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN p_size + 100 END AS p_size FROM part",
     "shared_root_one_source": "SELECT p_partkey, p_size + 100 AS p_size FROM part WHERE p_partkey % 2 = 0 ORDER BY p_partkey LIMIT 4",
     "entity_alternative_keys": "SELECT x.p_partkey AS id, tag FROM part x LEFT JOIN (SELECT p_size, p_name, min(p_type) AS tag FROM part GROUP BY ALL) y ON x.p_size = y.p_size AND x.p_name = y.p_name",
+    "requires_fragments": "SELECT p_partkey AS id, CAST(CASE WHEN p_size % 2 = 1 THEN 3 * p_size ELSE p_partkey * p_partkey END AS BIGINT) AS area FROM part",
+    "requires_arguments": "SELECT p_partkey AS id, '<S>' AS sign, 'L' AS label FROM part",
     "clashing_types": "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 1 THEN 'Circle' ELSE 'Square' END AS typename, CASE WHEN p_size % 2 = 1 THEN p_size END AS circle, CASE WHEN p_size % 2 = 0 THEN p_partkey END AS square FROM part",
     "null_nested_list": "SELECT p_partkey AS id, p_size % 2 = 1 AS gone, CAST(2 AS BIGINT) AS n, p_size % 2 = 1 AS all_gone FROM part",
     "engine_counters": "SELECT counter, CAST(n AS BIGINT) AS n FROM (VALUES ('requests', 5), ('errors', 2), ('plan_cache_hits', 1), ('plan_cache_misses', 4), ('FieldsOnCorrectType', 1), ('INTROSPECTION_DISABLED', 1)) t(counter, n)",
