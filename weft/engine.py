@@ -23,7 +23,7 @@ from weft.operators.invalid import invalid_values
 from weft.operators.lower import Lowering
 from weft.plans.partial import without
 from weft.plans.planner import Planner, RootPlan, describe, reads
-from weft.sources.registry import Registry
+from weft.sources.registry import Registry, SourceExecutor
 from weft.storage import cut
 from weft.streaming.subscribe import Subscriptions, event_time
 from weft.variables import coerce_all
@@ -163,6 +163,11 @@ class Engine:
         self.registry.add(source, type_name, load, columns, unique)
         return self._changed()
 
+    def executor(self, source: str, executor: SourceExecutor) -> Engine:
+        """Another way to read all tables of a source: a filter by tenant, a cache, a version of a table format."""
+        self.registry.executors[self.catalog.source(source)] = executor
+        return self._changed()
+
     def link(self, source: str, coordinate: str, on: dict[str, str], order_by: tuple[str, ...] = (), tag: str | None = None, carries: dict[str, str] | None = None) -> Engine:
         self.registry.link(source, coordinate, on, order_by, tag, carries)
         return self._changed()

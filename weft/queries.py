@@ -471,6 +471,17 @@ def _other_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.query("{ nations { n_nationkey region { r_name } } }").df.select("n_nationkey", "region.r_name")
 
 
+class _NorthOnly:
+    def table(self, source: str, type_name: str, plain: DataFrame) -> DataFrame:
+        return plain.filter("r_regionkey = 3") if type_name == "Region" else plain
+
+
+def _executor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reads of one source through an executor of its own; other sources stay."""
+    e = engine(spark, sf_dir).executor("geo", _NorthOnly())
+    return e.query("{ customers { c_custkey nation { n_name region { r_name } } } }").df.select("c_custkey", "nation.n_name", "nation.region.r_name")
+
+
 def _usage_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = opened(spark, sf_dir)
     text = "query Names { regions { r_name } }"
@@ -604,6 +615,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hook_source": _hooked,
     "hook_calls": _hook_calls,
     "source_override": _other_table,
+    "source_executor": _executor,
     "usage_record": _usage_record,
     "condition_algebra": _run("query($yes: Boolean!, $no: Boolean!) { nations { n_nationkey ...F @include(if: $yes) ... @skip(if: $no) { same: n_nationkey ... @include(if: $no) { never: n_nationkey } } } } fragment F on Nation { n_name @skip(if: $no) region @include(if: $yes) { r_name @skip(if: $yes) r_regionkey } gone: n_name @include(if: $yes) @skip(if: $yes) }", "n_nationkey", "same", "n_name", "region.r_regionkey AS r_regionkey", "size(map_keys(from_json(to_json(struct(*)), 'map<string,string>'))) AS n_keys", variables={"yes": True, "no": False}),
     "empty_object": _run("query($yes: Boolean!) { nations { n_nationkey region { r_name @skip(if: $yes) } } }", "n_nationkey", "region IS NULL AS gone", variables={"yes": True}),
@@ -715,6 +727,7 @@ ORACLES: dict[str, str] = {
     "hook_calls": """SELECT * FROM (VALUES (0, 'init'), (1, 'params'), (2, 'parse'), (3, 'validate'), (4, 'analysis'), (5, 'plan'), (6, 'source Nation'), (7, 'source Region'), (8, 'execute nations'),
         (9, 'params'), (10, 'parse'), (11, 'validate'), (12, 'error'), (13, 'reload'), (14, 'shutdown')) t(step, stage)""",
     "source_override": "SELECT n_nationkey, CASE WHEN r_regionkey < 2 THEN r_name END AS r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey",
+    "source_executor": "SELECT c_custkey, n_name, CASE WHEN r_regionkey = 3 THEN r_name END AS r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
     "usage_record": "SELECT sha256('query Names { regions { r_name } }') AS hash, 'query Names { regions { r_name } }' AS body, 'Names' AS name, 'Query.regions,Region.r_name' AS coordinates, CAST(0 AS BIGINT) AS estimated_cost, true AS ok",
     "condition_algebra": "SELECT n_nationkey, n_nationkey AS same, n_name, r_regionkey, 4 AS n_keys FROM nation LEFT JOIN region ON n_regionkey = r_regionkey",
     "empty_object": "SELECT n_nationkey, n_regionkey IS NULL AS gone FROM nation",

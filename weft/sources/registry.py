@@ -16,11 +16,9 @@ Loader = Callable[[SparkSession], DataFrame]
 
 
 class SourceExecutor(Protocol):
-    """What a source must offer."""
+    """What stands in for a source: each read of one of its tables asks it, with the table it replaces."""
 
-    def table(self, source: str, type_name: str) -> DataFrame: ...
-
-    def stream(self, source: str, type_name: str) -> DataFrame: ...
+    def table(self, source: str, type_name: str, plain: DataFrame) -> DataFrame: ...
 
 
 @dataclass(frozen=True)
@@ -61,6 +59,7 @@ class Registry:
         self.resolvers: dict[tuple[str, str], Resolver] = {}
         self.mutations: dict[str, Callable[..., None]] = {}
         self._paths: dict[str, DataFrame] = {}
+        self.executors: dict[str, SourceExecutor] = {}
 
     def add(self, source: str, type_name: str, load: Loader | DataFrame | str, columns: dict[str, str] | None = None, unique: tuple[str, ...] | None = None) -> None:
         """A table (DataFrame, loader or Parquet path). columns: field path -> SQL expression, where
@@ -102,6 +101,10 @@ class Registry:
         return None
 
     def read(self, source: str, type_name: str) -> DataFrame:
+        plain = self._plain(source, type_name)
+        return self.executors[source].table(source, type_name, plain) if source in self.executors else plain
+
+    def _plain(self, source: str, type_name: str) -> DataFrame:
         t = self.tables[source, type_name]
         if isinstance(t.load, str):  # one listing and one footer for each path
             if t.load not in self._paths:
