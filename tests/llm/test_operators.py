@@ -7,10 +7,12 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zipfile
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -589,6 +591,25 @@ def test_choice_of_prefix():
     assert jaccard_join.choose(np.array([5]), 1, 1, 4, 8.0) == 1
 
 
+def test_jaccard_count_rows_add_up_beside_one_sum(spark):
+    """Adding the count rows of many partitions holds one sum, not a wider copy of every row."""
+    cells = np.full(jaccard_join._ROW, 2**30, np.int32)
+    group = pd.DataFrame({"row": [3] * 300, "cells": [cells] * 300})
+    tracemalloc.start()
+    out = jaccard_join.added(group)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * cells.nbytes
+    assert out["row"].tolist() == [3] and (out["cells"][0] == 2**31 - 1).all()
+    texts = [f"a b c d{i % 7}" for i in range(90)]
+    want = np.zeros(jaccard_join.SLOTS, np.int64)
+    for t in texts:
+        for h in jaccard_join.shingle_hashes(t.encode().split(), 3):
+            want[int(h) % jaccard_join.SLOTS] += 1
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(40)
+    assert (jaccard_join.frequencies(df, 3) == want).all()
+
+
 def test_components_of_a_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r.v: r.root for r in components.components(path).collect()}

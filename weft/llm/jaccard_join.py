@@ -47,6 +47,7 @@ from weft.llm.components import components
 
 SLOTS = 1 << 21
 _ROW = 1 << 15  # cells in a row of the count table on its way through the shuffle
+_PARTS = 32  # sums of each row after the first level
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # classes and shingles in a block of a component, about
 
 
@@ -64,6 +65,14 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def added(group: pd.DataFrame) -> pd.DataFrame:
+    """One row with the sum of rows of equal number; only the sum is held beside them, however many they are."""
+    total = np.zeros(_ROW, np.int64)
+    for cells in group["cells"]:
+        total += cells
+    return pd.DataFrame({"row": [group["row"].iloc[0]], "cells": [np.minimum(total, 2**31 - 1).astype(np.int32)]})
+
+
 def frequencies(docs: DataFrame, n: int) -> np.ndarray:
     """Cell -> shingles of all documents that fall in it (counts stop at 2**31 - 1)."""
 
@@ -76,16 +85,12 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
             for i, row in enumerate(cells.reshape(-1, _ROW)):
                 yield pa.RecordBatch.from_pydict({"row": pa.array([i], pa.int64()), "cells": pa.array([row], pa.list_(pa.int32()))})
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.asarray(c, np.int64) for c in group["cells"]], axis=0)
-        return pd.DataFrame({"row": [group["row"].iloc[0]], "cells": [np.minimum(total, 2**31 - 1).astype(np.int32)]})
-
     schema = "row long, cells array<int>"
-    parts = docs.select("text").mapInArrow(count, schema).withColumn("_part", F.spark_partition_id() % 1024)
-    # two levels, so that no task gets the rows of all partitions
-    level = parts.groupBy("row", "_part").applyInPandas(lambda g: add(g[["row", "cells"]]), schema)
+    parts = docs.select("text").mapInArrow(count, schema).withColumn("_part", F.spark_partition_id() % _PARTS)
+    # two levels, so that no group gets the rows of all partitions: the last one gets _PARTS at most
+    level = parts.groupBy("row", "_part").applyInPandas(added, schema)
     out = np.zeros(SLOTS, np.int32)
-    for r in level.groupBy("row").applyInPandas(add, schema).toLocalIterator():
+    for r in level.groupBy("row").applyInPandas(added, schema).toLocalIterator():
         out[r.row * _ROW : (r.row + 1) * _ROW] = r.cells
     return out
 
